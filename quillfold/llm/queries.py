@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import encode, neardup
+from quillfold.llm import encode, neardup, textquality
 from quillfold.session import load
 
 
@@ -22,6 +22,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(load(spark, d, "documents"), ["doc_id"])
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return textquality.document_forms(load(spark, d, "documents"), load(spark, d, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    words = textquality.frequent_words(load(spark, d, "common_words"))
+    return textquality.robust_scores(textquality.text_statistics(load(spark, d, "documents"), words))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import encode, neardup, textquality
+from quillfold.llm import encode, neardup, newtext, textquality
 from quillfold.session import load
 
 
@@ -18,6 +18,10 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.mail_classes(load(spark, d, "emails"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return newtext.new_lines(load(spark, d, "emails"), load(spark, d, "email_participants"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(load(spark, d, "documents"), ["doc_id"])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import encode, neardup, newtext, textquality
+from quillfold.llm import encode, neardup, newtext, pii, textquality
 from quillfold.session import load
 
 
@@ -18,6 +18,14 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.mail_classes(load(spark, d, "emails"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_information(load(spark, d, "emails"), load(spark, d, "evidence"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_texts(load(spark, d, "emails").select("id", "body_text_novel"), ["body_text_novel"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return newtext.new_lines(load(spark, d, "emails"), load(spark, d, "email_participants"))
 

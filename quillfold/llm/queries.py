@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import encode, neardup, newtext, pii, textquality
+from quillfold.llm import encode, names, neardup, newtext, pii, textquality
 from quillfold.session import load
 
 
@@ -18,6 +18,14 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.mail_classes(load(spark, d, "emails"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_parties(load(spark, d, "people"), load(spark, d, "person_identities"), load(spark, d, "email_participants"))
+
+
+def p3_parties(spark: SparkSession, d: str) -> DataFrame:
+    return names.party_members(load(spark, d, "people"), load(spark, d, "person_identities"), load(spark, d, "email_participants"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_information(load(spark, d, "emails"), load(spark, d, "evidence"))
 

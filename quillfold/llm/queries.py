@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import encode, names, neardup, newtext, pii, textquality
+from quillfold.llm import encode, mixing, names, neardup, newtext, pii, textquality
 from quillfold.session import load
 
 
@@ -42,6 +42,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(load(spark, d, "documents"), ["doc_id"])
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).documents
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).report()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return textquality.document_forms(load(spark, d, "documents"), load(spark, d, "common_words"))
 

@@ -45,7 +45,7 @@ def word_sets(texts: DataFrame, key: str, text: str, least: int) -> DataFrame:
 def word_order(sets: DataFrame, buckets: int) -> np.ndarray:
     """Texts per bucket of word hashes: an array of ``buckets`` counts, the same size for any corpus."""
     rows = sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(buckets)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
-    out = np.zeros(buckets, np.int64)
+    out = np.zeros(buckets, np.int32)
     out[rows.column("b").to_numpy()] = rows.column("n").to_numpy()
     return out
 
@@ -166,9 +166,9 @@ def similar_sets(sets: DataFrame, t: float, buckets: int = 1 << 20, block: int =
         .distinct()
     )
     found = cut(found, "pairs")
-    left = sets.select(F.col("rep").alias("a"), F.col("words").alias("wa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
-    both = found.join(left, "a").join(right, "b")
+    # Both joins read one and the same exchange of the sets; only sets of pairs travel on.
+    left = found.join(sets, found["a"] == sets["rep"]).select("a", "b", F.col("words").alias("wa"))
+    both = left.join(sets, left["b"] == sets["rep"]).select("a", "b", "wa", F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     return both.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb") - shared).alias("all")).filter(F.col("shared") >= F.lit(t) * F.col("all") - F.lit(1e-9)).select("a", "b", "shared", "all")
 
@@ -181,13 +181,12 @@ def near_duplicates(texts: DataFrame, key: str, text: str, group: str, t: float,
     between representatives.
     """
     sets = word_sets(texts, key, text, least).withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
-    named = cut(sets, "sets")
-    reps = named.groupBy("set_id").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
-    several = reps.filter("copies > 1")
-    member = named.select(key, "set_id").join(several, "set_id", "left").select(key, F.coalesce("rep", F.col(key)).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    member = cut(member, "members")
-    unique = named.select(F.col(key).alias("rep"), "words").join(member.filter(F.col(key) == F.col("rep")).select("rep"), "rep", "left_semi")
-    members = member.join(texts.select(key, group), key)
+    # The words travel once, to the class they belong to; membership needs the class only.
+    unique = cut(sets.groupBy("set_id").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words")), "sets")
+    several = unique.filter("copies > 1").select("set_id", "rep", "copies")
+    member = sets.select(key, "set_id").join(several, "set_id", "left").select(key, F.coalesce("rep", F.col(key)).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    members = cut(member.join(texts.select(key, group), key), "members")
+    unique = unique.select("rep", "words")
     return members, similar_sets(unique, t)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.plans import mailops
+from quillfold.plans import ledgerq, mailops, mailq, streamq
 
-MODULES = (mailops,)
+MODULES = (mailops, ledgerq, mailq, streamq)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -80,6 +80,7 @@ class ChangeLog:
         target = f"{self.path}/run-{len(self.runs):06d}"
         keys = [*([run] if run else []), *self.keys]
         states = change_states(feed, keys, self.order, self.kind, self.value)
+        self.schema = states.select(*self.keys, "edge", "tail").schema
         writer = states.sortWithinPartitions(*keys).write.mode("overwrite")
         (writer.partitionBy(run) if run else writer).parquet(target)
         self.runs.append(target)
@@ -89,7 +90,7 @@ class ChangeLog:
         """All runs merged: one row per key, tombstones included."""
         if not self.runs:
             raise ValueError("no run was appended")
-        parts = [self.spark.read.parquet(r).select(*self.keys, "edge", "tail") for r in self.runs]
+        parts = [self.spark.read.schema(self.schema).parquet(r).select(*self.keys, "edge", "tail") for r in self.runs]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -6,13 +6,12 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillfold.functions.text import address, split_novel, urlsafe_b64
 
 PERSON = "struct<name:string,email:string>"
 #: Schema of a canonical message, one JSON object a line.
-MESSAGE = T._parse_datatype_string(
+MESSAGE = (
     f"id string, thread_id string, profile_id string, message_id_header string, in_reply_to string, references array<string>, thread_position int, thread_length int, `from` {PERSON}, sender {PERSON}, reply_to {PERSON}, to array<{PERSON}>, cc array<{PERSON}>, bcc array<{PERSON}>, "
     "subject string, snippet string, body_text string, body_html string, date string, internal_date_ms long, folder string, category string, is_unread boolean, is_starred boolean, is_important boolean, user_labels array<string>, "
     "attachments array<struct<attachment_id:string,filename:string,mime_type:string,size_bytes:long,is_inline:boolean,content_id:string,extracted_text:string>>, extra_headers map<string,string>, _rejected string"

@@ -59,6 +59,12 @@ _GREET = re.compile(r"\s*(?:hi|hello|hey|dear|good (?:morning|afternoon|evening|
 _NAME_LINE = re.compile(r"\s*(?:[^\W\d_][\w'’.-]*)(?:\s+[^\W\d_][\w'’.-]*){0,3}\s*$")
 
 
+def _bare_name(line: str) -> bool:
+    """One to three capitalised words and nothing else."""
+    s = line.strip()
+    return bool(_NAME_LINE.match(s)) and len(s.split()) <= 3 and s[:1].isupper() and s[-1:] not in ".,!?" and not _GREET.match(s)
+
+
 def _short(line: str) -> bool:
     return len(line) <= 72 and len(line.split()) <= 9
 
@@ -195,12 +201,12 @@ def _sign_run(lines: list[str], state: list[int], own: list[int], begin: int, en
             break
         m = _CLOSING.match(x)
         if m:
-            if p == 0 and len(rest) > 12 and not m.group("name").strip():
-                continue  # thanks, as an opening
+            if p == 0 and not m.group("name").strip() and (len(rest) > 12 or (not rest and x.rstrip()[-1:] in "!.")):
+                continue  # thanks, as an opening or as all there is to say
             start = p
             break
         if p and _DEVICE.match(x) and len(x) < 60:
-            start = p - 1 if _NAME_LINE.match(lines[own[p - 1]]) and len(lines[own[p - 1]].split()) <= 3 and lines[own[p - 1]].strip()[:1].isupper() else p
+            start = p - 1 if _bare_name(lines[own[p - 1]]) else p
             break
         if p and rest and x.rstrip()[-1:] == "," and len(x.split()) <= 3 and not _GREET.match(x):
             tail = _without_ps(lines, state, rest)
@@ -212,7 +218,7 @@ def _sign_run(lines: list[str], state: list[int], own: list[int], begin: int, en
         p = len(own)
         while p > 0 and (_DEVICE.match(lines[own[p - 1]]) or _CONTACT.match(lines[own[p - 1]])) and not _PS.match(lines[own[p - 1]]):
             p -= 1
-        if p > 1 and own and _NAME_LINE.match(lines[own[p - 1]]) and len(lines[own[p - 1]].split()) <= 3 and not _GREET.match(lines[own[p - 1]]) and lines[own[p - 1]].strip()[:1].isupper():
+        if p > 1 and _bare_name(lines[own[p - 1]]):
             above = own[p - 1] - 1
             if p < len(own) or (above >= begin and state[above] == BLANK):
                 p -= 1

@@ -12,6 +12,7 @@ from quillfold.functions import text
 from quillfold.functions.timefns import with_mentions
 from quillfold.operators.changefeed import instant
 from quillfold.operators.delivery import unique_emails
+from quillfold.operators.lookalike import lookalikes
 from quillfold.operators.threads import rate_limited, thread_positions, thread_rollup
 from quillfold.session import load
 
@@ -99,10 +100,11 @@ def registrable_rollup(spark, d):
 def domain_impersonation_scan(spark, d):
     """Domains with few messages that look like an established one of the same mailbox; strongest relation first, then the busier domain."""
     i = load(spark, d, "person_identities").groupBy("user_id", ident.registrable(ident.domain_of(F.col("address"))).alias("domain")).agg(F.sum("message_count").alias("n"), F.count("*").alias("people"))
-    old, new = i.filter("people >= 3"), i.filter("people < 3")
-    pairs = new.alias("a").join(old.alias("b"), "user_id").select("user_id", F.col("a.domain").alias("domain"), F.col("b.domain").alias("like"), F.col("b.n").alias("n"), ident.domain_relation(F.col("a.domain"), F.col("b.domain")).alias("relation"))
+    new = i.filter("people < 3").select("user_id", F.col("domain").alias("a"))
+    old = i.filter("people >= 3").select("user_id", F.col("domain").alias("b"), "n")
+    pairs = lookalikes(i, "user_id", "domain").join(new, ["user_id", "a"]).join(old, ["user_id", "b"]).select("user_id", F.col("a").alias("domain"), F.col("b").alias("like"), "n", "relation")
     severity = F.when(F.col("relation") == "embedded_brand", 0).when(F.col("relation") == "typosquat", 1).otherwise(2)
-    best = pairs.filter("relation in ('embedded_brand', 'typosquat', 'sibling_tld')").groupBy("user_id", "domain").agg(F.min_by(F.struct("like", "relation"), F.struct(severity.alias("s"), (-F.col("n")).alias("n"), "like")).alias("r"))
+    best = pairs.groupBy("user_id", "domain").agg(F.min_by(F.struct("like", "relation"), F.struct(severity.alias("s"), (-F.col("n")).alias("n"), "like")).alias("r"))
     return best.select("user_id", "domain", F.col("r.like").alias("looks_like"), F.col("r.relation").alias("relation"))
 
 

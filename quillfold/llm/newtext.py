@@ -3,9 +3,10 @@
 1. One Arrow stage explodes each body into lines and gives every line a state
    from its own message: quoted or forwarded mail and its header lines,
    sign-off, disclaimer or banner, or possibly new.
-2. Windows over the exploded lines (as hashes of their normalised text) then
-   use the other messages: of a line that several messages of a thread hold,
-   only the message that is first by date keeps it (first authored); closing
+2. Windows over the exploded lines (as hashes of their normalised text, and of
+   runs of words that don't depend on where lines end) then use the other
+   messages: of what several messages of a thread hold, only the message that
+   is first by date keeps it (first authored); closing
    lines that a sender repeats in several threads are removed from the end of a
    message backwards.
 """
@@ -43,7 +44,7 @@ _DASHES = re.compile(r"\s*--\s*$")
 _CLOSING = re.compile(
     r"\s*(?:(?:(?:kind|best|warm|kindest|warmest|many)\s+)?(?:regards|thanks|wishes)|cheers|best|br|kr|rgds|thx|ta|lg|vg|mfg|thank you(?: very much| so much)?|thanks(?: a lot| again| in advance)|with thanks|all the best|warmly|cordially|respectfully|greetings|ciao|speak soon|talk soon|see you(?: soon)?|take care|sincerely|yours(?: sincerely| truly| faithfully)?|"
     r"(?:mit )?(?:(?:freundlichen?|besten?|herzlichen?|vielen?|viele|liebe|schöne|beste|herzliche|freundliche)\s+)(?:grüßen|grüße|gruß|gruss|grüssen|dank)|gruß|grüße|danke(?: und gruß)?|bis bald|hochachtungsvoll|"
-    r"cordialement|bien à vous|merci|saludos|un saludo|atentamente|gracias)\s*[,.!–-]*\s*(?P<name>(?:[A-ZÀ-Þ][\w.'’-]*\s*){0,4})[.,!]?\s*$",
+    r"cordialement|bien à vous|merci|saludos|un saludo|atentamente|gracias)(?!\w)\s*[,.!–-]*\s*(?P<name>(?-i:(?:[A-ZÀ-Þ][\w.'’-]*\s*){0,4}))[.,!]?\s*$",
     re.I,
 )
 _PS = re.compile(r"\s*(?:P\.?\s?P?\.?\s?S\.?|N\.?B\.?|Postscript|Nachtrag)\s*[:.\s–-]", re.I)
@@ -89,9 +90,8 @@ def _quoted(lines: list[str], state: list[int]) -> None:
             if before and _MARKED.match(lines[i - 1]) and before[-1] not in ".!?:,;" and (x[:1].islower() or len(before) >= 50):
                 state[i] = QUOTE
                 i += 1
-                while i < n and state[i] == NEW and x[-1:] not in ".!?" and not _MARKED.match(lines[i]) and lines[i][:1].islower():
+                while i < n and state[i] == NEW and not _MARKED.match(lines[i]):  # to the end of the wrapped paragraph
                     state[i] = QUOTE
-                    x = lines[i]
                     i += 1
                 continue
         # A divider or a block of header lines: all that follows is old.
@@ -272,15 +272,40 @@ def normalised(line: str) -> str:
     return " ".join(_STRIP.sub("", line).lower().split())
 
 
+GRAM, KEEP = 8, 3
+
+
+def grams(lines: list[str], state: list[int]) -> dict[int, list[int]]:
+    """Fingerprints of a body's possibly new text by line: hashes of runs of eight words, of which content picks one in three.
+
+    The runs go on across line ends, so text that was wrapped anew keeps them;
+    one that covers several lines counts for each.
+    """
+    words, where = [], []
+    for i, x in enumerate(lines):
+        if state[i] == NEW:
+            own = normalised(x).split()
+            words += own
+            where += [i] * len(own)
+    out: dict[int, list[int]] = {}
+    for j in range(len(words) - GRAM + 1):
+        h = xxhash.xxh3_64_intdigest(" ".join(words[j : j + GRAM]).encode("utf-8", "surrogatepass"))
+        if h % KEEP == 0:
+            for i in {where[j], where[j + GRAM // 2], where[j + GRAM - 1]}:
+                out.setdefault(i, []).append(h - (1 << 63))
+    return out
+
+
 def _stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, no, state, text, kind, left = [], [], [], [], [], []
+        row, no, text, kind, left, marks = [], [], [], [], [], []
         for r, body in enumerate(batch.column("body").to_pylist()):
             if not body:
                 continue
             states = line_states(body)
             lines = body.split("\n")
             remaining = sum(s == NEW for s in states)
+            prints = grams(lines, states)
             for i, s in enumerate(states):
                 if s != NEW:
                     continue
@@ -292,9 +317,10 @@ def _stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # bit 0: long enough to be told from chance; bit 1: may be a closing line
                 kind.append((len(norm) >= 30 and words >= 5) + 2 * (words <= 9 and norm[-1:] not in ".,!?:;" and not _GREET.match(norm)))
                 left.append(remaining)
+                marks.append(prints.get(i, []))
                 remaining -= 1
         cols = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "thread", "message", "sender", "at")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(no, pa.int32()), pa.array(text, pa.int64()), pa.array(kind, pa.int8()), pa.array(left, pa.int32())], names=["id", "thread", "message", "sender", "at", "line_no", "line", "kind", "left"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(no, pa.int32()), pa.array(text, pa.int64()), pa.array(kind, pa.int8()), pa.array(left, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "thread", "message", "sender", "at", "line_no", "line", "kind", "left", "grams"])
 
 
 def _message(c: type[F] = F) -> Column:
@@ -309,7 +335,7 @@ def candidate_lines(emails: DataFrame, participants: DataFrame) -> DataFrame:
         "id", F.coalesce("thread_id", "id").alias("thread"), F.xxhash64(_message()).alias("message"), F.unix_micros(instant(F.col("provider_ts"))).alias("at"), F.col("body_text_full").alias("body")
     )
     rows = mails.join(senders, "id", "left").select("id", "thread", "message", F.xxhash64(F.coalesce("sender", "id")).alias("sender"), F.coalesce("at", F.lit(0)).alias("at"), "body")
-    return rows.mapInArrow(_stage, "id string, thread string, message long, sender long, at long, line_no int, line long, kind byte, left int")
+    return rows.mapInArrow(_stage, "id string, thread string, message long, sender long, at long, line_no int, line long, kind byte, left int, grams array<long>")
 
 
 def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int = 3, closing_zone: int = 6) -> DataFrame:
@@ -321,7 +347,13 @@ def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int =
     ``closing_zone`` lines in at least ``closing_threads`` threads of its sender.
     """
     lines = candidate_lines(emails, participants)
-    # First authored: of all messages of the thread with this line the earliest keeps it.
+    # First authored, whatever the line ends: of all messages of a thread with a run of words the earliest keeps it. A
+    # line is old if an earlier message has at least half of its runs.
+    runs = lines.select("thread", F.explode(F.array_distinct("grams")).alias("gram"), "message", "at", F.xxhash64("id").alias("mail"), "line_no")
+    earliest = F.min(F.struct("at", "message")).over(Window.partitionBy("thread", "gram"))
+    old = runs.select("mail", "line_no", (earliest["message"] != F.col("message")).alias("old")).groupBy("mail", "line_no").agg(F.count_if("old").alias("old"), F.count("*").alias("all")).filter(F.col("old") * 2 >= F.col("all")).select("mail", "line_no")
+    lines = lines.drop("grams").withColumn("mail", F.xxhash64("id")).join(old, ["mail", "line_no"], "left_anti").drop("mail")
+    # The same for whole lines, which may be too short for a run.
     same = Window.partitionBy("thread", "line")
     first = F.min(F.struct("at", "message")).over(same)
     told = F.when(F.col("kind").bitwiseAND(F.lit(1).cast("byte")) == 1, first["message"] == F.col("message")).otherwise(True)

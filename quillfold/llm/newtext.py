@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillfold.operators.changefeed import instant
 from quillfold.operators.delivery import message_key
+from quillfold.session import cut
 
 NEW, QUOTE, SIGN, BOILER, BLANK = range(5)
 
@@ -346,7 +347,7 @@ def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int =
     same lines. A closing line is one that stands among the last
     ``closing_zone`` lines in at least ``closing_threads`` threads of its sender.
     """
-    lines = candidate_lines(emails, participants)
+    lines = cut(candidate_lines(emails, participants), "lines")  # read three times: lines are found once
     # First authored, whatever the line ends: of all messages of a thread with a run of words the earliest keeps it. A
     # line is old if an earlier message has at least half of its runs.
     runs = lines.select("thread", F.explode(F.array_distinct("grams")).alias("gram"), "message", "at", F.xxhash64("id").alias("mail"), "line_no")

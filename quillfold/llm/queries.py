@@ -63,5 +63,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
 
+P2_SQL = r"""
+WITH kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, lower(trim(provider_message_id, E' \t\n\r')) ORDER BY ingested_at NULLS LAST, id) AS n FROM emails) WHERE n = 1),
+w AS (SELECT id, coalesce(thread_id, id) AS thread, list_distinct(regexp_extract_all(lower(concat_ws(' ', subject, body_text_full)), '[\p{L}\p{N}_]+')) AS words FROM kept),
+s AS (SELECT id, thread, len(words) AS n, words FROM w WHERE len(words) >= 40), t AS (SELECT id, thread, n, unnest(words) AS word FROM s)
+SELECT a.id AS email_a, b.id AS email_b FROM t a JOIN t b ON a.word = b.word AND a.id < b.id AND a.thread <> b.thread AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)
+GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL}

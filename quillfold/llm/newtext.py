@@ -273,11 +273,11 @@ def normalised(line: str) -> str:
     return " ".join(_STRIP.sub("", line).lower().split())
 
 
-GRAM, KEEP = 8, 3
+GRAM = 8
 
 
 def grams(lines: list[str], state: list[int]) -> dict[int, list[int]]:
-    """Fingerprints of a body's possibly new text by line: hashes of runs of eight words, of which content picks one in three.
+    """Hashes of all runs of eight words of a body's possibly new text, each with the lines it counts for.
 
     The runs go on across line ends, so text that was wrapped anew keeps them;
     one that covers several lines counts for each.
@@ -290,23 +290,33 @@ def grams(lines: list[str], state: list[int]) -> dict[int, list[int]]:
             where += [i] * len(own)
     out: dict[int, list[int]] = {}
     for j in range(len(words) - GRAM + 1):
-        h = xxhash.xxh3_64_intdigest(" ".join(words[j : j + GRAM]).encode("utf-8", "surrogatepass"))
-        if h % KEEP == 0:
-            for i in {where[j], where[j + GRAM // 2], where[j + GRAM - 1]}:
-                out.setdefault(i, []).append(h - (1 << 63))
+        h = xxhash.xxh3_64_intdigest(" ".join(words[j : j + GRAM]).encode("utf-8", "surrogatepass")) - (1 << 63)
+        on = out.setdefault(h, [])
+        for i in (where[j], where[j + GRAM // 2], where[j + GRAM - 1]):
+            if i not in on:
+                on.append(i)
     return out
 
 
 def _stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, no, text, kind, left, marks = [], [], [], [], [], []
+        row, no, text, kind, left, marks, covers, runs = [], [], [], [], [], [], [], []
         for r, body in enumerate(batch.column("body").to_pylist()):
             if not body:
                 continue
             states = line_states(body)
             lines = body.split("\n")
             remaining = sum(s == NEW for s in states)
-            prints = grams(lines, states)
+            # Each run travels once, with its first line; two line numbers are packed into one value.
+            prints: dict[int, tuple[list[int], list[int]]] = {}
+            count: dict[int, int] = {}
+            for h, on in grams(lines, states).items():
+                for i in on:
+                    count[i] = count.get(i, 0) + 1
+                own = prints.setdefault(on[0], ([], []))
+                for k in range(0, len(on), 2):
+                    own[0].append(h)
+                    own[1].append((on[k] + 1) << 31 | (on[k + 1] + 1 if k + 1 < len(on) else 0))
             for i, s in enumerate(states):
                 if s != NEW:
                     continue
@@ -318,10 +328,14 @@ def _stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # bit 0: long enough to be told from chance; bit 1: may be a closing line
                 kind.append((len(norm) >= 30 and words >= 5) + 2 * (words <= 9 and norm[-1:] not in ".,!?:;" and not _GREET.match(norm)))
                 left.append(remaining)
-                marks.append(prints.get(i, []))
+                own = prints.get(i, ([], []))
+                marks.append(own[0])
+                covers.append(own[1])
+                runs.append(count.get(i, 0))
                 remaining -= 1
         cols = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "thread", "message", "sender", "at")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(no, pa.int32()), pa.array(text, pa.int64()), pa.array(kind, pa.int8()), pa.array(left, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "thread", "message", "sender", "at", "line_no", "line", "kind", "left", "grams"])
+        cols += [pa.array(no, pa.int32()), pa.array(text, pa.int64()), pa.array(kind, pa.int8()), pa.array(left, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(covers, pa.list_(pa.int64())), pa.array(runs, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "thread", "message", "sender", "at", "line_no", "line", "kind", "left", "grams", "covers", "runs"])
 
 
 def _message(c: type[F] = F) -> Column:
@@ -336,7 +350,7 @@ def candidate_lines(emails: DataFrame, participants: DataFrame) -> DataFrame:
         "id", F.coalesce("thread_id", "id").alias("thread"), F.xxhash64(_message()).alias("message"), F.unix_micros(instant(F.col("provider_ts"))).alias("at"), F.col("body_text_full").alias("body")
     )
     rows = mails.join(senders, "id", "left").select("id", "thread", "message", F.xxhash64(F.coalesce("sender", "id")).alias("sender"), F.coalesce("at", F.lit(0)).alias("at"), "body")
-    return rows.mapInArrow(_stage, "id string, thread string, message long, sender long, at long, line_no int, line long, kind byte, left int, grams array<long>")
+    return rows.mapInArrow(_stage, "id string, thread string, message long, sender long, at long, line_no int, line long, kind byte, left int, grams array<long>, covers array<long>, runs int")
 
 
 def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int = 3, closing_zone: int = 6) -> DataFrame:
@@ -350,10 +364,13 @@ def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int =
     lines = cut(candidate_lines(emails, participants), "lines")  # read three times: lines are found once
     # First authored, whatever the line ends: of all messages of a thread with a run of words the earliest keeps it. A
     # line is old if an earlier message has at least half of its runs.
-    runs = lines.select("thread", F.explode(F.array_distinct("grams")).alias("gram"), "message", "at", F.xxhash64("id").alias("mail"), "line_no")
-    earliest = F.min(F.struct("at", "message")).over(Window.partitionBy("thread", "gram"))
-    old = runs.select("mail", "line_no", (earliest["message"] != F.col("message")).alias("old")).groupBy("mail", "line_no").agg(F.count_if("old").alias("old"), F.count("*").alias("all")).filter(F.col("old") * 2 >= F.col("all")).select("mail", "line_no")
-    lines = lines.drop("grams").withColumn("mail", F.xxhash64("id")).join(old, ["mail", "line_no"], "left_anti").drop("mail")
+    runs = lines.select("thread", F.explode(F.arrays_zip("grams", "covers")).alias("run"), "message", "at", F.xxhash64("id").alias("mail"))
+    runs = runs.select(F.xxhash64("thread", "run.grams").alias("gram"), "run.covers", "message", "at", "mail")
+    earliest = F.min(F.struct("at", "message")).over(Window.partitionBy("gram"))
+    again = runs.select("mail", "covers", (earliest["message"] != F.col("message")).alias("old")).filter("old")
+    again = again.select("mail", F.explode(F.array(F.shiftright("covers", 31).cast("int"), F.col("covers").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))).alias("line_no")).filter("line_no > 0")
+    old = again.groupBy("mail", "line_no").agg(F.count("*").alias("old"))
+    lines = lines.drop("grams", "covers").withColumn("mail", F.xxhash64("id")).join(old, ["mail", "line_no"], "left").filter("old is null or old * 2 < runs").drop("mail", "old", "runs")
     # The same for whole lines, which may be too short for a run.
     same = Window.partitionBy("thread", "line")
     first = F.min(F.struct("at", "message")).over(same)

@@ -49,5 +49,23 @@ def test_recurrent_closing_lines(spark):
     assert ("m0", 2) in run(spark, rows[:2], {})
 
 
+def test_rewrapped_passages_are_old_on_all_their_runs(spark):
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(10)]
+        own = [f"v{k}x{i}" for i in range(20)]
+        rows.append((f"a{k}", f"a{k}", f"t{k}", "2026-01-01T10:00:00Z", " ".join(words)))
+        rows.append((f"b{k}", f"b{k}", f"t{k}", "2026-01-02T10:00:00Z", " ".join(words[:5]) + "\n" + " ".join(words[5:])))
+        # Three of thirteen runs are shared: less than half, so the line is new.
+        rows.append((f"c{k}", f"c{k}", f"t{k}", "2026-01-03T10:00:00Z", " ".join(words + own[:10])))
+    assert run(spark, rows, {}) == {(f"{x}{k}", 1) for k in range(12) for x in "ac"}
+
+
+def test_a_run_on_many_lines_counts_for_each():
+    lines = ["one two three four five six seven eight"] * 3
+    got = newtext.grams(lines, [newtext.NEW] * 3)
+    assert len(got) == 8 and sorted(max(got.values(), key=len)) == [0, 1, 2]
+
+
 def test_empty(spark):
     assert run(spark, [("m", "1", "t", None, None)], {}) == set()

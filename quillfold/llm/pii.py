@@ -50,12 +50,13 @@ _FOLD |= {c: " " for c in (0xA0, 0x2007, 0x202F, 0x3000, 0x2009, 0x200A, 0x2002,
 _FOLD |= {c: "-" for c in (0x2010, 0x2011, 0x2012, 0x2212)}
 _FOLD |= {0x2019: "'", 0x2018: "'", 0x3002: ".", 0x2024: "."}
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]+")
-_DIGITS = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "oh ein zwo drei vier fuenf sechs sieben acht neun") for i, w in enumerate(words.split())} | {"ein": "1", "zwo": "2"}
+_DIGITS = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "oh ein zwo drei vier fuenf sechs sieben acht neun", "null eins zwei drei vier funf sechs sieben acht neun") for i, w in enumerate(words.split())} | {"ein": "1", "zwo": "2"}
 _SPELLED = re.compile(r"\b(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?:[ ,-]+(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r"|\d)){4,}\b", re.I)
 _ONE = re.compile(r"[^\W\d_]+|\d", re.I)
-_AT_DOT = re.compile(r"\s*[\[({<]\s*(?P<at>at|@|ät|klammeraffe)\s*[\])}>]\s*|(?P<AT>(?<=\w) (?:AT|\(AT\)) (?=\w))|(?P<low>(?<=[\w.]) at (?=[\w-]+(?: dot |\s*[\[({]\s*(?:dot|punkt)\s*[\])}]\s*)))|\s*[\[({]\s*(?:dot|punkt|\.)\s*[\])}]\s*|(?<=\w) (?:dot|DOT|punkt) (?=\w)", re.I)
-_BRACKETS = re.compile(r"[\[({<] ?(?:at|@|dot|\.|ät|punkt|klammeraffe)\b")
-_TWO_SPELLED = re.compile(r"(?:ero|one|two|ree|our|ive|six|ven|ght|ine|oh|ull|ins|wei|rei|ier|ünf|chs|eun)[ ,-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|\d)[ ,-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|\d)\b")
+_AT_DOT = re.compile(r"\s*[\[({<]\s*(?P<at>at|@|ät|klammeraffe)\s*[\])}>]\s*|(?P<AT>(?<=\w) (?-i:AT|\(AT\)) (?=\w))|(?P<low>(?<=[\w.]) at (?=[\w-]+(?: dot |\s*[\[({]\s*(?:dot|punkt)\s*[\])}]\s*)))|\s*[\[({]\s*(?:dot|punkt|\.)\s*[\])}]\s*|(?<=\w) (?:dot|DOT|punkt) (?=\w)", re.I)
+# Gates: a text without these, and without a bare AT or dot, has no disguise in brackets and no spelled digits.
+_BRACKETS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|ät|punkt|klammeraffe)\s*[\])}>]")
+_TWO_SPELLED = re.compile(r"(?:{0})[ ,-]+(?:{1}|\d)[ ,-]+(?:{1}|\d)\b".format("|".join(sorted({w[-3:] for w in _DIGITS})), "|".join(sorted(_DIGITS, key=len, reverse=True))))
 
 
 class Normalised:

@@ -43,6 +43,21 @@ def test_disguises_map_back():
     assert got[1] == ("email", "ｍｅｉ＠labs．example") and got[2] == ("email", "j​oe@x.example")
 
 
+@pytest.mark.parametrize("address", ["jane(@)host.example", "jane[@]host.example", "jane@host[.]example", "jane@host(.)example", "jane ( at ) host.example", "jane[ \t at ]host( dot )example"])
+def test_a_disguise_alone_is_found(address):
+    assert found(f"to {address} today") == [("email", address)]
+
+
+def test_a_disguise_leaves_other_words_alone():
+    assert found("Hugo Ponsingrath at the office, jane(@)host.example") == [("name", "Hugo Ponsingrath"), ("email", "jane(@)host.example")]
+
+
+@pytest.mark.parametrize("digits", ["null drei null fünf fünf sechs eins neun zwei", "fünf null fünf null fünf null fünf null fünf", "zwo fuenf zwo fuenf zwo fuenf zwo fuenf"])
+def test_german_digits_are_read(digits):
+    got = pii.Normalised(f"Ruf {digits} an").text.split()[1]
+    assert got.isdigit() and len(got) == len(digits.split())
+
+
 def test_redact():
     assert pii.redact("Hugo Ponsingrath, (212) 555-0175, a@b.example") == "[NAME], [PHONE], [EMAIL]"
     assert pii.redact(None) is None and pii.redact("") == ""

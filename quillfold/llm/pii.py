@@ -340,3 +340,10 @@ def personal_information(emails: DataFrame, evidence: DataFrame) -> DataFrame:
     mails = find_personal(emails, "id", "body_text_novel").select(F.lit("emails").alias("source_table"), "row_id", "kind", "start_at")
     quotes = find_personal(evidence_quotes(evidence), "id", "quote").select(F.lit("evidence").alias("source_table"), "row_id", "kind", "start_at")
     return mails.unionByName(quotes)
+
+
+def redacted_texts(emails: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(source_table, row_id, text): both texts with placeholders; mails without text keep their row."""
+    mails = emails.select(F.lit("emails").alias("source_table"), F.col("id").alias("row_id"), F.col("body_text_novel").alias("text"))
+    quotes = evidence_quotes(evidence).select(F.lit("evidence").alias("source_table"), F.col("id").alias("row_id"), F.col("quote").alias("text"))
+    return redact_texts(mails.unionByName(quotes), ["text"])

@@ -31,7 +31,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact_texts(load(spark, d, "emails").select("id", "body_text_novel"), ["body_text_novel"])
+    return pii.redacted_texts(load(spark, d, "emails"), load(spark, d, "evidence"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_tables(spark):
     assert {tuple(r) for r in pii.personal_information(mails, quotes).collect()} == {("emails", "m1", "email", 5), ("evidence", "e1", "phone", 3)}
     assert pii.personal_information(mails.limit(0), quotes.limit(0)).count() == 0
     assert {r.body_text_novel for r in pii.redact_texts(mails, ["body_text_novel"]).collect()} == {"mail [EMAIL]", None, ""}
+
+
+def test_both_texts_are_redacted(spark):
+    from quillfold.llm import queries
+
+    tables = {
+        "emails": spark.createDataFrame([("m1", "mail a@b.example"), ("m2", None)], "id string, body_text_novel string"),
+        "evidence": spark.createDataFrame([("e1", "or (212) 555-0175", 2), ("e1", "or (212) 555-0175", 1), ("e2", None, 3)], "id string, evidence_quote string, ingest_seq long"),
+    }
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "load", lambda s, d, table: tables[table])
+        got = {tuple(r) for r in queries.p4_redacted(spark, "").collect()}
+    assert got == {("emails", "m1", "mail [EMAIL]"), ("emails", "m2", None), ("evidence", "e1", "or [PHONE]")}

@@ -357,7 +357,7 @@ def imitating_domains(rows: DataFrame) -> DataFrame:
     near = near.unionByName(near.select("grp", F.col("y").alias("x"), F.col("x").alias("y"), "d")).select(F.col("grp").alias("user_id"), "x", "y")
     a = per.select("user_id", F.col("brand").alias("x"), F.struct("domain", "people", "n").alias("a"))
     b = per.select("user_id", F.col("brand").alias("y"), F.struct("domain", "people", "n").alias("b"))
-    typo = near.join(a, ["user_id", "x"]).join(b, ["user_id", "y"]).filter(F.struct(F.col("a.people"), F.col("a.n")) < F.struct(F.col("b.people"), F.col("b.n"))).filter("a.people <= 2").select("user_id", F.col("a.domain").alias("domain"))
+    typo = near.join(a, ["user_id", "x"]).join(b, ["user_id", "y"]).filter(F.struct(F.col("a.people"), F.col("a.n")) < F.struct(F.col("b.people"), F.col("b.n"))).select("user_id", F.col("a.domain").alias("domain"))
     return embedded.unionByName(sibling).unionByName(typo).distinct()
 
 

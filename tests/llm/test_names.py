@@ -64,6 +64,13 @@ def test_parties(spark):
     assert star == {("p1", "p2"), ("p1", "p3"), ("o1", "o2")}
 
 
+def test_a_busy_look_alike_domain_imitates(spark):
+    given = ["Deborah", "Jessica", "Thomas", "Hugo"]
+    rows = [(f"r{i}", f"{g} Ponsarrath", f"{g.lower()}.ponsarrath@isterinpress.example") for i, g in enumerate(given)]
+    rows += [(f"f{i}", f"{g} Ponsarrath", f"{g.lower()}.ponsarrath@isterinpres.example") for i, g in enumerate(given[:3])]
+    assert names.same_parties(*tables(spark, rows)).count() == 0
+
+
 def test_mailboxes_are_apart_and_empty(spark):
     a, b = tables(spark, PEOPLE[:1], "u"), tables(spark, [("q1", *PEOPLE[0][1:])], "v")
     both = [x.union(y) for x, y in zip(a, b)]

@@ -413,11 +413,11 @@ def parties(rows: DataFrame) -> DataFrame:
     return org.unionByName(alone).unionByName(people)
 
 
-def same_parties(people: DataFrame, identities: DataFrame, participants: DataFrame, expand: int = 200) -> DataFrame:
+def same_parties(people: DataFrame, identities: DataFrame, participants: DataFrame, expand: int = (1 << 63) - 1) -> DataFrame:
     """(person_a, person_b): all pairs of people rows of one party, smaller first.
 
-    Parties of more than ``expand`` rows are given as pairs with their smallest
-    row, so that no party's pairs grow with its square. Rows without name and
+    With ``expand``, parties of more rows are given as pairs with their smallest
+    row only; :func:`party_members` is the form that doesn't grow with the square. Rows without name and
     telling address are parties of their own.
     """
     found = cut(parties(described_people(people, identities, participants)).distinct(), "parties")

@@ -71,6 +71,11 @@ def test_a_busy_look_alike_domain_imitates(spark):
     assert names.same_parties(*tables(spark, rows)).count() == 0
 
 
+def test_all_pairs_of_a_large_party(spark):
+    rows = [(f"p{i:03d}", "Deborah Ponsarrath", f"deborah.ponsarrath@host{i}.example") for i in range(201)]
+    assert names.same_parties(*tables(spark, rows)).count() == 201 * 200 // 2
+
+
 def test_mailboxes_are_apart_and_empty(spark):
     a, b = tables(spark, PEOPLE[:1], "u"), tables(spark, [("q1", *PEOPLE[0][1:])], "v")
     both = [x.union(y) for x, y in zip(a, b)]

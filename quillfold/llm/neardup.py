@@ -29,17 +29,19 @@ from quillfold.llm import sigtree
 from quillfold.session import cut
 
 WORDS64 = 4  # 64-bit words of a bitmap
+#: What a cell keeps of a text, packed into one value.
+RECORD = np.dtype([("size", "<i4"), ("room", "<i4"), ("lost", "<i4"), ("side", "<i4"), ("bits", "<u8", (WORDS64,))])
 
 
-def word_sets(texts: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(key, words): sorted distinct word hashes of texts with at least ``least`` distinct words.
+def word_sets(texts: DataFrame, key: str, text: str, least: int, *keep: str) -> DataFrame:
+    """(key, *keep, words): sorted distinct word hashes of texts with at least ``least`` distinct words.
 
     A word is a run of letters, digits and underscores, case ignored. Null
     texts have no words.
     """
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     words = F.transform(F.array_distinct(found), lambda w: F.xxhash64(w))
-    return texts.select(key, F.array_sort(words).alias("words")).filter(F.size("words") >= least)
+    return texts.select(key, *keep, F.array_sort(words).alias("words")).filter(F.size("words") >= least)
 
 
 def word_order(sets: DataFrame, buckets: int) -> np.ndarray:
@@ -93,19 +95,10 @@ def _postings(order, t: float, block: int):
                 rooms.append(room[many][k])
                 sides.append(np.where(i == j, 2, np.where(mine[k] == i, 0, 1)).astype(np.int8))
             r = np.concatenate(rows)
-            keys = batch.column("rep")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(cells)),
-                    keys.take(pa.array(r)),
-                    pa.array(sizes[r].astype(np.int32)),
-                    pa.array(np.concatenate(rooms)),
-                    pa.array(np.concatenate(sides)),
-                    pa.array(lost[r]),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS64), len(r), [None, pa.py_buffer(bits[r].tobytes())]).cast(pa.binary()),
-                ],
-                names=["cell", "rep", "size", "room", "side", "lost", "bits"],
-            )
+            record = np.empty(len(r), RECORD)
+            record["size"], record["lost"], record["room"], record["side"], record["bits"] = sizes[r], lost[r], np.concatenate(rooms), np.concatenate(sides), bits[r]
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD.itemsize), len(r), [None, pa.py_buffer(record.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(record["size"]), batch.column("rep").take(pa.array(r)), packed], names=["cell", "size", "rep", "packed"])
 
     return run
 
@@ -118,14 +111,20 @@ def _mix(w: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
+def _unpacked(column: pa.BinaryArray) -> np.ndarray:
+    """The records of a column, without a Python object for each."""
+    begin = column.offset * RECORD.itemsize + (column.buffers()[1] and int(np.frombuffer(column.buffers()[1], np.int32, 1)[0]) or 0)
+    return np.frombuffer(column.buffers()[2], RECORD, len(column), begin) if len(column) else np.empty(0, RECORD)
+
+
 def _traverse(t: float, hold: int):
     """Arrow stage over records sorted by (cell, size): pairs from the cells' trees."""
 
     def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
         cell = part.column("cell").to_numpy()
-        size, room, lost = (part.column(c).to_numpy() for c in ("size", "room", "lost"))
-        side = part.column("side").to_numpy()
-        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS64)
+        record = np.concatenate([_unpacked(c) for c in part.column("packed").chunks])
+        size, room, lost, side = (record[k] for k in ("size", "room", "lost", "side"))
+        bits = np.ascontiguousarray(record["bits"])
         rep = part.column("rep").combine_chunks()
         tree = sigtree.Tree(cell, None if (side == 2).all() else side, size, room, bits, lost)
         for a, b in sigtree.similar(tree, t):
@@ -152,14 +151,21 @@ def _traverse(t: float, hold: int):
     return run
 
 
-def similar_sets(sets: DataFrame, t: float, buckets: int = 1 << 20, block: int = 20_000, hold: int = 60_000) -> DataFrame:
-    """(a, b, shared): pairs of representatives, a < b, of Jaccard similarity ``t`` or more. ``sets`` has (rep, words), one row per distinct set."""
+def similar_sets(sets: DataFrame, t: float, buckets: int = 1 << 20, block: int = 20_000, hold: int = 60_000, task_records: int = 250_000) -> DataFrame:
+    """(a, b, shared, all): pairs of representatives, a < b, of Jaccard similarity ``t`` or more. ``sets`` has (rep, words), one row per distinct set.
+
+    Records are spread over as many partitions as keep some ``task_records`` in each, however large the corpus.
+    """
     spark = sets.sparkSession
-    order = spark.sparkContext.broadcast(word_order(sets, buckets))
-    records = sets.mapInArrow(_postings(order, t, block), "cell long, rep string, size int, room int, side byte, lost int, bits binary")
-    # A number of partitions that follows the data, so that a task's sort stays small.
+    counts = word_order(sets, buckets)
+    order = spark.sparkContext.broadcast(counts)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A text has a record for about 1 - t of its words, with more where a cell has several stripes.
+    records_in_all = int(((1 - t) * counts * -(-counts.astype(np.int64) // block)).sum())
+    parts = max(least, records_in_all // task_records + 1)
+    records = sets.mapInArrow(_postings(order, t, block), "cell long, size int, rep string, packed binary")
     found = (
-        records.repartition(F.col("cell"))
+        records.repartition(parts, F.col("cell"))
         .sortWithinPartitions("cell", "size")
         .mapInArrow(_traverse(t, hold), "a string, b string")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -168,26 +174,30 @@ def similar_sets(sets: DataFrame, t: float, buckets: int = 1 << 20, block: int =
     found = cut(found, "pairs")
     # Both joins read one and the same exchange of the sets; only sets of pairs travel on.
     left = found.join(sets, found["a"] == sets["rep"]).select("a", "b", F.col("words").alias("wa"))
-    both = left.join(sets, left["b"] == sets["rep"]).select("a", "b", "wa", F.col("words").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb") - shared).alias("all")).filter(F.col("shared") >= F.lit(t) * F.col("all") - F.lit(1e-9)).select("a", "b", "shared", "all")
+    both = left.join(sets, left["b"] == sets["rep"]).select("a", "b", F.size("wa").alias("na"), F.size("words").alias("nb"), F.array_intersect("wa", F.col("words")).alias("both"))
+    # The intersection is found once a pair: the filter needs its size only.
+    shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size("both").alias("shared"))
+    return shared.filter(F.col("shared") * F.lit(1 + t) >= F.lit(t) * F.col("sum") - F.lit(1e-9)).select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("all"))
 
 
 def near_duplicates(texts: DataFrame, key: str, text: str, group: str, t: float, least: int) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts.
 
-    members: (key, group, rep), one row per text with enough words; ``rep`` is
+    members: (key, group, rep, copies), one row per text with enough words, repeated rows once; ``rep`` is
     the smallest key with the same set of words. links: (a, b, shared, all)
     between representatives.
     """
-    sets = word_sets(texts, key, text, least).withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
-    # The words travel once, to the class they belong to; membership needs the class only.
-    unique = cut(sets.groupBy("set_id").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words")), "sets")
-    several = unique.filter("copies > 1").select("set_id", "rep", "copies")
-    member = sets.select(key, "set_id").join(several, "set_id", "left").select(key, F.coalesce("rep", F.col(key)).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    members = cut(member.join(texts.select(key, group), key), "members")
-    unique = unique.select("rep", "words")
-    return members, similar_sets(unique, t)
+    # Texts are tokenised once; everything below reads the sets from there.
+    sets = word_sets(texts, key, text, least, group).withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
+    sets = cut(sets, "sets")
+    # Equal sets meet by their short id only; words travel for the sets that occur more than once, one copy a task.
+    several = cut(sets.groupBy("set_id").agg(F.min(key).alias("rep"), F.count("*").alias("rows"), F.count_distinct(key).alias("copies")).filter("rows > 1"), "several")
+    members = sets.select(key, group, "set_id").join(several, "set_id", "left").select(key, group, F.coalesce("rep", F.col(key)).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    members = cut(members.dropDuplicates([key]), "members")
+    single = sets.join(several, "set_id", "left_anti").select(F.col(key).alias("rep"), "words")
+    repeated = sets.join(several.select("set_id", "rep"), "set_id").groupBy("set_id").agg(F.first("rep").alias("rep"), F.first("words").alias("words")).select("rep", "words")
+    unique = single.unionByName(repeated)
+    return members, similar_sets(cut(unique, "unique"), t)
 
 
 def pairs_across(members: DataFrame, links: DataFrame, key: str, group: str, expand: int = 200) -> DataFrame:

@@ -1,18 +1,21 @@
 """Linking variant spellings of people and organisations within a user's mailbox.
 
-Every people row is parsed into a name form (given name or initial, family
-name) or an organisation, from all names seen with it and from its address.
-Family names within the edit radius of each other are found by metric-space
-partitioning: each name goes to its nearest pivot, and, by the triangle
-inequality, to the cell of each pivot that is at most twice the radius farther;
-inside a cell an exact radius join uses the Levenshtein metric. Forms whose
-given names agree are linked; components are the parties.
+1. Every distinct spelling of a people row is parsed into a name form (given
+   name or initial, family name); forms are counted per row on the map side, and
+   the most frequent one decides, together with the row's address.
+2. Family names and brands within the edit radius are found by metric-space
+   partitioning, always: each name goes to its nearest pivot and, by the triangle
+   inequality, to the cell of each pivot that is at most twice its radius
+   farther; the number of pivots follows the number of names. Inside a cell the
+   distances to the pivots and the sets of letters leave out what can't be near,
+   and the built-in Levenshtein distance decides exactly.
+3. Forms whose given names agree are linked; components are the parties.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfold.functions.identity import registrable, sld
 from quillfold.llm.neardup import pairs_across
 from quillfold.llm.pii import _FOLD, FIRM, GIVEN
 from quillfold.operators.components import connected_components
@@ -43,35 +47,12 @@ ROLES = frozenset(
 )
 _FIRMS = frozenset(FIRM)
 _PAREN = re.compile(r"\([^)]*\)|\[[^\]]*\]")
-_TWO_PART = frozenset("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp co.in com.br co.za".split())
 
 
 def fold(s: str) -> str:
     return s.translate(_FOLD).lower()
 
 
-def registrable(domain: str) -> str:
-    """The last two labels, three after a two-part suffix."""
-    p = domain.split(".")
-    return ".".join(p[-3:] if len(p) >= 3 and ".".join(p[-2:]) in _TWO_PART else p[-2:])
-
-
-def distance(a: str, b: str, cap: int) -> int:
-    """Levenshtein distance, or ``cap + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > cap:
-        return cap + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        low = i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-            low = min(low, row[j])
-        if low > cap:
-            return cap + 1
-    return min(row[-1], cap + 1)
-
-
 def _given(token: str) -> str | None:
     """The full given name a token stands for, a slip of one edit in a long one allowed."""
     if token in _FULL:
@@ -79,14 +60,33 @@ def _given(token: str) -> str | None:
     return None
 
 
+def _deletions(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+_NEAR_GIVEN: dict[str, set[str]] = {}
+for _name in _FULL:
+    for _v in {_name} | _deletions(_name):
+        _NEAR_GIVEN.setdefault(_v, set()).add(_name)
+
+
 def _given_like(token: str) -> str | None:
+    """The one given name of four letters or more that a token spells with at most one slip (an edit or a swap)."""
     g = _given(token)
     if g or len(token) < 4:
         return g
-    near = {SHORT.get(x, x) for x in _FULL if len(x) >= 4 and abs(len(x) - len(token)) <= 1 and (distance(x, token, 1) == 1 or (len(x) == len(token) and _swapped(x, token)))}
+    # Two words with a slip between them have a variant in common after at most one deletion each.
+    found = {x for v in {token} | _deletions(token) for x in _NEAR_GIVEN.get(v, ())}
+    near = {SHORT.get(x, x) for x in found if len(x) >= 4 and _slip(x, token)}
     return near.pop() if len(near) == 1 else None
 
 
+def _slip(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1 or _swapped(a, b)
+    return abs(len(a) - len(b)) == 1 and min(a, b, key=len) in _deletions(max(a, b, key=len))
+
+
 def _swapped(a: str, b: str) -> bool:
     d = [i for i in range(len(a)) if a[i] != b[i]]
     return len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
@@ -158,84 +158,74 @@ def parse_local(local: str, families: frozenset[str] = frozenset()) -> tuple[str
     return None
 
 
-def is_organisation(names: list[str], local: str, brand: str) -> bool:
-    """Role addresses, and names that spell the domain's brand."""
+def _firm_words(raw: str | None, local: str) -> tuple[bool, str]:
+    """Whether a role address or the name's last word shows an organisation, and the name as one word."""
     if fold(local).split("+")[0] in ROLES:
-        return True
-    for raw in names:
-        tokens = re.findall(r"[a-z]+", _PAREN.sub(" ", fold(raw)))
-        if len(tokens) >= 2 and tokens[-1] in _FIRMS | {"limited", "gmbh", "ltd", "team", "desk", "group"} and not _given(tokens[0]):
-            return True
-        word = "".join(t for t in tokens if t not in ("the", "limited", "gmbh", "ltd", "group", "team"))
-        if len(brand) >= 6 and distance(word, brand.replace("-", ""), 2) <= 2 and not parse_local(local):
-            return True
-    return False
-
-
-def describe(names: list[tuple[str, int]], address: str) -> tuple[str, str | None, str | None, str | None]:
-    """(kind, given, initial, family) of a people row: ``org``, ``person`` or ``unknown``."""
-    local, _, domain = address.partition("@")
-    brand = registrable(domain).split(".")[0] if domain else ""
-    shown = [n for n, _ in names if n and n.strip()]
-    if is_organisation(shown, local, brand):
-        return "org", None, None, None
-    votes: Counter[tuple[str | None, str | None, str]] = Counter()
-    for n, k in names:
-        if (p := parse_name(n)) and p[2] not in _FIRMS:
-            votes[p] += k
-    own = parse_local(local)
-    if own:
-        # An address is typed once and used for good: its spelling counts more, if a name agrees with it or there is none.
-        near = [p for p in votes if distance(p[2], own[2], RADIUS) <= RADIUS and (p[1] == own[1] or p[1] is None)]
-        if near or not votes:
-            votes[own] += 2 + sum(votes[p] for p in near)
-    if not votes:
-        return "unknown", None, None, None
-    family: Counter[str] = Counter()
-    for (_, _, f), k in votes.items():
-        family[f] += k
-    best = min(family, key=lambda f: (-family[f], f))
-    given: Counter[str] = Counter()
-    initial: Counter[str] = Counter()
-    for (g, i, f), k in votes.items():
-        if distance(f, best, RADIUS) <= RADIUS:
-            if g:
-                given[g] += k * (3 if g in _FULL else 1)
-            if i:
-                initial[i] += k
-    g = min(given, key=lambda x: (-given[x], x)) if given else None
-    i = g[0] if g else (min(initial, key=lambda x: (-initial[x], x)) if initial else None)
-    return "person", g, i, best
-
-
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return True, ""
+    tokens = re.findall(r"[a-z]+", _PAREN.sub(" ", fold(raw or "")))
+    firm = len(tokens) >= 2 and tokens[-1] in _FIRMS and not _given(tokens[0])
+    return firm, "".join(t for t in tokens if t not in ("the", "limited", "gmbh", "ltd", "group", "team"))
+
+
+_FORM = "id string, address string, brand string, k long, firm boolean, word string, given string, initial string, family string, own_given string, own_initial string, own_family string"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow stage: the forms that a spelling and an address show."""
     for batch in batches:
-        out = [describe([(x["name"], x["n"]) for x in names or []], (address or "").strip().lower()) for names, address in zip(batch.column("names").to_pylist(), batch.column("address").to_pylist())]
-        cols = [batch.column(c) for c in ("id", "user_id", "domain", "n")]
-        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([o[k] for o in out], pa.string()) for k in range(4))], names=["id", "user_id", "domain", "n", "kind", "given", "initial", "family"])
+        out = []
+        for raw, address in zip(batch.column("name").to_pylist(), batch.column("address").to_pylist()):
+            local = (address or "").strip().lower().partition("@")[0]
+            form = parse_name(raw)
+            out.append((*_firm_words(raw, local), *(form if form and form[2] not in _FIRMS else (None,) * 3), *(parse_local(local) or (None,) * 3)))
+        cols = list(zip(*out)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "address", "brand", "k")), pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.string()) for c in cols[1:])], names=[x.split()[0] for x in _FORM.split(", ")])
 
 
 def described_people(people: DataFrame, identities: DataFrame, participants: DataFrame) -> DataFrame:
-    """One row per people row: user, registrable domain, message count, kind and name form.
+    """One row per people row: user, registrable domain, message count, kind (``org``, ``person``, ``unknown``) and name form.
 
     The names of a row are its canonical name, the names of its identity and
-    those of its messages, each distinct spelling once with its count; repeated
-    spellings are counted on the map side before they meet.
+    those of its messages, each distinct spelling once with its count. All of
+    them count: votes are summed per row and parsed form on the map side, so a
+    list address with any number of spellings never meets in one task. The
+    family name with most votes wins (ties: the first in the alphabet), then the
+    given name among forms near that family name. An address counts with the
+    names that agree with it, or by itself where there is none.
     """
     clean = lambda c: F.when(F.trim(c) != "", c)
-    seen = participants.filter("person_id is not null and raw_name is not null").groupBy(F.col("person_id").alias("id"), F.col("raw_name").alias("name")).agg(F.count("*").alias("n"))
-    typed = people.select("id", F.col("canonical_name").alias("name"), F.lit(2).cast("long").alias("n"))
-    told = identities.select(F.col("person_id").alias("id"), F.col("observed_name").alias("name"), F.lit(1).cast("long").alias("n"))
-    names = seen.unionByName(typed).unionByName(told).select("id", clean(F.col("name")).alias("name"), "n").filter("name is not null and id is not null")
-    names = names.groupBy("id", "name").agg(F.sum("n").alias("n"))
-    # Of the spellings of one row the 50 most frequent decide; the sum is over all of them.
-    ranked = names.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "name")), False), 1, 50).alias("names"))
+    seen = participants.filter("person_id is not null and raw_name is not null").groupBy(F.col("person_id").alias("id"), F.col("raw_name").alias("name")).agg(F.count("*").alias("k"))
+    typed = people.select("id", F.col("canonical_name").alias("name"), F.lit(2).cast("long").alias("k"))
+    told = identities.select(F.col("person_id").alias("id"), F.col("observed_name").alias("name"), F.lit(1).cast("long").alias("k"))
+    names = seen.unionByName(typed).unionByName(told).select("id", clean(F.col("name")).alias("name"), "k").filter("name is not null and id is not null").groupBy("id", "name").agg(F.sum("k").alias("k"))
     where = identities.filter("address is not null").groupBy(F.col("person_id").alias("id")).agg(F.max_by("address", F.struct("message_count", "address")).alias("address"), F.sum("message_count").alias("n"))
-    rows = people.filter("id is not null and user_id is not null").select("id", "user_id").join(where, "id", "left").join(ranked, "id", "left")
-    domain = F.lower(F.trim(F.substring_index("address", "@", -1)))
-    parts = F.split(domain, r"\.")
-    reg = F.when(F.array_join(F.slice(parts, -2, 2), ".").isin(*_TWO_PART) & (F.size(parts) >= 3), F.array_join(F.slice(parts, -3, 3), ".")).when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(domain)
-    return rows.select("id", "user_id", reg.alias("domain"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "names", "address").mapInArrow(_describe, "id string, user_id string, domain string, n long, kind string, given string, initial string, family string")
+    rows = cut(people.filter("id is not null and user_id is not null").select("id", "user_id").distinct().join(where, "id", "left").withColumn("domain", registrable(F.substring_index("address", "@", -1))), "rows")
+    spelled = rows.select("id", "address", F.regexp_replace(sld(F.col("domain")), "-", "").alias("brand")).distinct().join(names, "id", "left").select("id", "address", "brand", "name", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
+    # A spelling is parsed once; the parsed forms are read for the votes and for the rows.
+    parsed = cut(spelled.mapInArrow(_parse, _FORM), "spellings")
+    near = F.col("family").isNotNull() & (F.levenshtein("family", "own_family", RADIUS) >= 0) & (F.col("initial").isNull() | (F.col("initial") == F.col("own_initial")))
+    firm = F.col("firm") | ((F.length("brand") >= 6) & F.col("own_family").isNull() & (F.length("word") > 0) & (F.levenshtein("word", "brand", 2) >= 0))
+    own = parsed.groupBy("id").agg(
+        F.coalesce(F.bool_or(firm), F.lit(False)).alias("org"), F.first("own_given").alias("given"), F.first("own_initial").alias("initial"), F.first("own_family").alias("family"),
+        F.sum(F.when(near, F.col("k"))).alias("near"), F.count("family").alias("forms"),
+    )
+    own = cut(own, "addresses")
+    of_address = own.filter("family is not null and (near is not null or forms = 0)").select("id", "given", "initial", "family", (2 + F.coalesce("near", F.lit(0))).alias("k"))
+    votes = parsed.filter("family is not null").groupBy("id", "given", "initial", "family").agg(F.sum("k").alias("k")).unionByName(of_address)
+    votes = cut(votes, "votes")
+    best = votes.groupBy("id", "family").agg(F.sum("k").alias("k")).groupBy("id").agg(F.min_by("family", F.struct(-F.col("k"), "family")).alias("best"))
+    close = votes.join(best, "id").filter(F.levenshtein("family", "best", RADIUS) >= 0)
+    weight = F.when(F.col("given").isin(*sorted(_FULL)), 3).otherwise(1)
+    each = close.select("id", "best", F.explode(F.array(F.struct(F.lit("g").alias("what"), F.col("given").alias("value"), (F.col("k") * weight).alias("k")), F.struct(F.lit("i").alias("what"), F.col("initial").alias("value"), F.col("k").alias("k")))).alias("v")).select("id", "best", "v.*")
+    top = each.groupBy("id", "best", "what", "value").agg(F.sum("k").alias("k"))
+    top = top.groupBy("id").agg(F.first("best").alias("family"), *[F.min_by("value", F.when((F.col("what") == w) & F.col("value").isNotNull(), F.struct(-F.col("k"), "value"))).alias(n) for w, n in (("g", "given"), ("i", "first"))])
+    found = rows.join(own.select("id", "org"), "id", "left").join(top, "id", "left")
+    kind = F.when(F.coalesce("org", F.lit(False)), "org").when(F.col("family").isNotNull(), "person").otherwise("unknown")
+    person = kind == "person"
+    return found.select(
+        "id", "user_id", "domain", F.coalesce("n", F.lit(0)).cast("long").alias("n"), kind.alias("kind"),
+        F.when(person, F.col("given")).alias("given"), F.when(person, F.coalesce(F.substring("given", 1, 1), "first")).alias("initial"), F.when(person, F.col("family")).alias("family"),
+    )
 
 
 # --- metric-space partitioning -------------------------------------------------
@@ -252,67 +242,63 @@ def _masks(words: list[str]) -> np.ndarray:
     return out
 
 
-def _cell_pairs(words: list[str], home: list[bool], r: int) -> Iterator[tuple[int, int, int]]:
-    """Exact radius join of one cell; a pair counts where at least one of the two is at home."""
-    order = sorted(range(len(words)), key=lambda i: (len(words[i]), words[i]))
-    w = [words[i] for i in order]
-    own = np.array([home[i] for i in order], bool)
-    size = np.array([len(x) for x in w])
-    mask = _masks(w)
-    for i in range(len(w)):
-        end = int(np.searchsorted(size, size[i] + r, "right"))
-        if end <= i + 1:
-            continue
-        near = np.flatnonzero((np.bitwise_count(mask[i + 1 : end] ^ mask[i]) <= 2 * r) & (own[i + 1 : end] | own[i])) + i + 1
-        for j in near.tolist():
-            d = distance(w[i], w[j], r)
-            if d <= r:
-                yield order[i], order[j], d
-
-
-def _assign(pivots: list[str], r: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group, word, cell, home = [], [], [], []
-            for g, w, large in zip(batch.column("grp").to_pylist(), batch.column("word").to_pylist(), batch.column("large").to_pylist()):
-                if not large or not pivots:
-                    group.append(g), word.append(w), cell.append(-1), home.append(True)
-                    continue
-                d = [distance(w, p, 64) for p in pivots]
-                k = min(range(len(d)), key=d.__getitem__)
-                for i, x in enumerate(d):
-                    if i == k or x <= d[k] + 2 * r:
-                        group.append(g), word.append(w), cell.append(i), home.append(i == k)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.string()), pa.array(word, pa.string()), pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], names=["grp", "word", "cell", "home"])
+def _cell_pairs(words: list[str], home: np.ndarray, far: np.ndarray, r: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a cell that may be within the radius, i the smaller word and at home here.
 
-    return run
+    ``far`` has the distances to the pivots: of two words within r, no two
+    differ by more than r (triangle inequality). Pairs are compared by blocks of
+    rows, and only with words of a fitting length.
+    """
+    size = np.array([len(w) for w in words])
+    order = np.argsort(size, kind="stable")
+    size, home, far, mask = size[order], home[order], far[order], _masks([words[i] for i in order])
+    rank = np.empty(len(words), np.int64)
+    rank[np.array(sorted(range(len(words)), key=lambda i: words[order[i]]), np.int64)] = np.arange(len(words))
+    for a in range(0, len(words), block):
+        b = min(a + block, len(words))
+        end = int(np.searchsorted(size, size[b - 1] + r, "right"))
+        ok = np.bitwise_count(mask[a:b, None] ^ mask[None, a:end]) <= 2 * r
+        for k in range(far.shape[1]):
+            ok &= np.abs(far[a:b, k, None] - far[None, a:end, k]) <= r
+        i, j = np.nonzero(ok)
+        i, j = i + a, j + a
+        use = i < j
+        i, j = i[use], j[use]
+        x, y = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+        use = home[x]
+        yield order[x[use]], order[y[use]]
 
 
 def _join_cells(r: int):
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], list[bool]]]:
-        key, words, home = None, [], []
+    """Arrow stage over records sorted by cell: candidate pairs of each cell."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], list[bool], list]]:
+        key, words, home, far = None, [], [], []
         for batch in batches:
-            for g, c, w, h in zip(*(batch.column(k).to_pylist() for k in ("grp", "cell", "word", "home"))):
+            for g, c, w, h, d in zip(*(batch.column(k).to_pylist() for k in ("grp", "cell", "word", "home", "far"))):
                 if (g, c) != key:
-                    if key:
-                        yield key[0], words, home
-                    key, words, home = (g, c), [], []
+                    if words:
+                        yield key[0], words, home, far
+                    key, words, home, far = (g, c), [], [], []
                 words.append(w)
                 home.append(h)
-        if key:
-            yield key[0], words, home
+                far.append(d)
+        if words:
+            yield key[0], words, home, far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buf: list[tuple[str, str, str, int]] = []
+        buf: list[tuple[str, str, str]] = []
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*buf)) or [(), (), (), ()]
+            cols = list(zip(*buf)) or [(), (), ()]
             buf.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int32())], names=["grp", "x", "y", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["grp", "x", "y"])
 
-        for g, words, home in cells(batches):
-            for i, j, d in _cell_pairs(words, home, r):
-                buf.append((g, min(words[i], words[j]), max(words[i], words[j]), d))
+        for g, words, home, far in cells(batches):
+            if len(words) == 1:
+                continue
+            for i, j in _cell_pairs(words, np.array(home), np.array(far, np.int16), r):
+                buf += [(g, words[p], words[q]) for p, q in zip(i.tolist(), j.tolist())]
                 if len(buf) >= 20_000:
                     yield flush()
         yield flush()
@@ -320,95 +306,100 @@ def _join_cells(r: int):
     return run
 
 
-def radius_pairs(names: DataFrame, r: int = RADIUS, large: int = 1500, pivots: int = 24) -> DataFrame:
-    """(grp, x, y, d): distinct names x < y of one group at Levenshtein distance ``r`` or less.
+def name_cells(words: DataFrame, pivots: list[str], r: int) -> DataFrame:
+    """(grp, word, cell, home, far): each name in its nearest pivot's cell, and in each cell where a partner may be at home.
 
-    ``names`` has (grp, word). Groups of at most ``large`` distinct names are one
-    cell. Larger ones are partitioned by at most ``pivots`` pivots, drawn from
-    the large groups' names by hash (a bounded number of short strings).
+    A name of fewer than six letters has radius 1. A partner within its radius q
+    is at home with a pivot that is at most 2 q farther than the name's own.
     """
-    spark = names.sparkSession
-    words = cut(names.filter("grp is not null and word is not null").distinct(), "words")
-    sizes = words.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > large).select("grp", F.lit(True).alias("large"))
-    marked = words.join(sizes, "grp", "left").select("grp", "word", F.coalesce("large", F.lit(False)).alias("large"))
-    drawn = [x.word for x in marked.filter("large").select("word").distinct().orderBy(F.xxhash64("word"), "word").limit(pivots).collect()]
-    placed = marked.mapInArrow(_assign(drawn, r), "grp string, word string, cell int, home boolean")
-    return placed.repartition("grp", "cell").sortWithinPartitions("grp", "cell").mapInArrow(_join_cells(r), "grp string, x string, y string, d int").distinct()
+    far = F.array(*[F.levenshtein("word", F.lit(p)).cast("short") for p in pivots])
+    reach = F.when(F.length("word") >= 6, 2 * r).otherwise(2 * min(r, 1))
+    placed = words.withColumn("far", far).withColumn("least", F.array_min("far"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.get(F.col("far"), i) <= F.col("least") + reach)
+    return placed.select("grp", "word", F.explode(at).alias("cell"), (F.array_position("far", F.col("least")) - 1).alias("own"), "far").select("grp", "word", "cell", (F.col("cell") == F.col("own")).alias("home"), "far")
+
+
+def radius_pairs(names: DataFrame, r: int = RADIUS, most_pivots: int = 64) -> DataFrame:
+    """(grp, x, y, d): distinct names x < y of one group at Levenshtein distance ``r`` or less, 1 where one has fewer than six letters.
+
+    ``names`` has (grp, word). The number of pivots is a quarter of the root of
+    the number of names, at least 4 and at most ``most_pivots`` (short strings,
+    drawn by hash). A pair comes out of one cell only: that of its smaller name.
+    """
+    words = cut(names.filter("grp is not null and word is not null and word != ''").distinct(), "words")
+    number = words.count()
+    drawn = [x.word for x in words.select(F.substring("word", 1, 32).alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(max(4, min(most_pivots, math.isqrt(number) // 4))).collect()] or [""]
+    cells = name_cells(words, drawn, r).repartition("grp", "cell").sortWithinPartitions("grp", "cell")
+    found = cells.mapInArrow(_join_cells(r), "grp string, x string, y string").withColumn("d", F.levenshtein("x", "y", r))
+    return found.filter((F.col("d") >= 0) & ((F.least(F.length("x"), F.length("y")) >= 6) | (F.col("d") <= 1)))
 
 
 # --- domains -------------------------------------------------------------------
 
 
-def imitating_domains(rows: DataFrame) -> DataFrame:
+def imitating_domains(rows: DataFrame, near: DataFrame) -> DataFrame:
     """(user_id, domain) of domains that only imitate another domain of the same mailbox.
 
     Two registrable domains are alike if the shorter brand (4 letters or more)
     is a whole token of the longer one, if their brands (6 or more) are within
     two edits, or if they differ only in the suffix. The longer one imitates in
     the first case; else the one with fewer people, then fewer messages.
+    ``near`` has (user_id, x, y): brands within two edits, both ways.
     """
-    per = rows.filter("domain is not null").groupBy("user_id", "domain").agg(F.count("*").alias("people"), F.sum("n").alias("n")).withColumn("brand", F.split_part("domain", F.lit("."), F.lit(1)))
+    per = rows.filter("domain is not null").groupBy("user_id", "domain").agg(F.count("*").alias("people"), F.sum("n").alias("n")).withColumn("brand", sld(F.col("domain")))
     per = cut(per, "domains")
     token = per.select("user_id", "domain", "brand", F.explode(F.array_distinct(F.split("brand", "[-_.]+"))).alias("token")).filter("token != brand and length(token) >= 4")
     embedded = token.alias("l").join(per.alias("s"), (F.col("l.user_id") == F.col("s.user_id")) & (F.col("l.token") == F.col("s.brand"))).select("l.user_id", "l.domain")
     weaker = F.struct(F.col("a.people"), F.col("a.n")) < F.struct(F.col("b.people"), F.col("b.n"))
-    sibling = per.alias("a").join(per.alias("b"), ["user_id", "brand"]).filter("a.domain != b.domain").filter(weaker).select("user_id", F.col("a.domain").alias("domain"))
-    near = radius_pairs(per.filter("length(brand) >= 5").select(F.col("user_id").alias("grp"), F.col("brand").alias("word"))).filter("least(length(x), length(y)) >= 6")
-    near = near.unionByName(near.select("grp", F.col("y").alias("x"), F.col("x").alias("y"), "d")).select(F.col("grp").alias("user_id"), "x", "y")
     a = per.select("user_id", F.col("brand").alias("x"), F.struct("domain", "people", "n").alias("a"))
     b = per.select("user_id", F.col("brand").alias("y"), F.struct("domain", "people", "n").alias("b"))
-    typo = near.join(a, ["user_id", "x"]).join(b, ["user_id", "y"]).filter(F.struct(F.col("a.people"), F.col("a.n")) < F.struct(F.col("b.people"), F.col("b.n"))).select("user_id", F.col("a.domain").alias("domain"))
-    return embedded.unionByName(sibling).unionByName(typo).distinct()
+    alike = near.filter("length(x) >= 6 and length(y) >= 6").select("user_id", "x", "y").unionByName(per.select("user_id", F.col("brand").alias("x"), F.col("brand").alias("y")).distinct())
+    other = alike.join(a, ["user_id", "x"]).join(b, ["user_id", "y"]).filter("a.domain != b.domain").filter(weaker).select("user_id", F.col("a.domain").alias("domain"))
+    return embedded.unionByName(other).distinct()
 
 
 # --- parties -------------------------------------------------------------------
 
 
-def _alike(a: str | None, b: str | None) -> bool:
-    """Two full given names: equal, or a slip, unless both are names of their own."""
-    if a == b:
-        return True
-    if not a or not b or (a in _FULL and b in _FULL):
-        return False
-    return distance(a, b, 1) <= 1 or (len(a) == len(b) and _swapped(a, b))
-
-
 def parties(rows: DataFrame) -> DataFrame:
     """(id, user_id, party) for rows as of :func:`described_people`."""
-    fake = imitating_domains(rows).withColumn("fake", F.lit(True))
+    rows = cut(rows, "described")
+    # Family names and brands go through the pivots together; a prefix keeps them apart.
+    tagged = rows.select(F.concat(F.lit("f"), "user_id").alias("grp"), F.col("family").alias("word")).unionByName(rows.filter("length(domain) >= 6").select(F.concat(F.lit("b"), "user_id").alias("grp"), sld(F.col("domain")).alias("word")))
+    near = cut(radius_pairs(tagged), "radius")
+    near = near.select(F.substring("grp", 1, 1).alias("what"), F.expr("substring(grp, 2)").alias("user_id"), F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select("what", "user_id", "p.*")
+    fake = imitating_domains(rows, near.filter("what = 'b'").drop("what")).withColumn("fake", F.lit(True))
     rows = cut(rows.join(fake, ["user_id", "domain"], "left").withColumn("fake", F.coalesce("fake", F.lit(False))), "people")
     org = rows.filter("kind = 'org' or (fake and kind != 'person')").select("id", "user_id", F.concat_ws("|", F.lit("org"), "user_id", F.coalesce("domain", "id")).alias("party"))
     alone = rows.filter("kind = 'unknown' and not fake").select("id", "user_id", F.concat_ws("|", F.lit("row"), "id").alias("party"))
     person = rows.filter("kind = 'person'")
     # People at imitating domains are parties of their own: their domain is part of the mailbox they are compared in.
     person = person.withColumn("grp", F.when(F.col("fake"), F.concat_ws("|", "user_id", "domain")).otherwise(F.col("user_id")))
-    forms = cut(person.groupBy("grp", "given", "initial", "family").agg(F.min("id").alias("form"), F.collect_set("domain").alias("domains")), "forms")
-    near = radius_pairs(forms.select("grp", F.col("family").alias("word")))
-    # The radius follows the length: one edit for short names.
-    near = near.filter((F.least(F.length("x"), F.length("y")) >= 6) | (F.col("d") <= 1))
-    same = forms.select("grp", F.col("family").alias("x"), F.col("family").alias("y")).distinct()
-    near = cut(same.unionByName(near.select("grp", "x", "y")).unionByName(near.select("grp", F.col("y").alias("x"), F.col("x").alias("y"))), "near")
-    left = forms.select("grp", F.col("family").alias("x"), F.struct("form", "given", "initial", "domains").alias("p"))
-    right = forms.select("grp", F.col("family").alias("y"), F.struct("form", "given", "initial", "domains").alias("q"))
-    # Initials: resolved to the one full given name that a near family name has, the own domain first.
-    full = right.filter("q.given is not null")
-    fits = (F.col("p.initial") == F.col("q.initial")) | F.col("p.initial").isNull()
-    candidates = left.filter("p.given is null").join(near, ["grp", "x"]).join(full, ["grp", "y"]).filter(fits)
-    homely = F.when(F.arrays_overlap("p.domains", "q.domains"), F.col("q.given"))
-    named = candidates.groupBy(F.col("p.form").alias("form")).agg(F.collect_set("q.given").alias("all"), F.collect_set(homely).alias("home"))
-    settled = named.select("form", F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("home") == 1, F.col("home")[0]).otherwise("?").alias("resolved"))
-    forms2 = cut(forms.join(settled, "form", "left").select("grp", "form", "family", "initial", F.coalesce("given", "resolved").alias("given")), "forms")
-    left = forms2.select("grp", F.col("family").alias("x"), F.col("form").alias("a"), F.col("given").alias("g1"), F.col("initial").alias("i1"))
-    right = forms2.select("grp", F.col("family").alias("y"), F.col("form").alias("b"), F.col("given").alias("g2"), F.col("initial").alias("i2"))
-    pairs = left.join(near, ["grp", "x"]).join(right, ["grp", "y"]).filter("a < b")
+    forms = cut(person.groupBy("grp", "user_id", "given", "initial", "family").agg(F.min("id").alias("form")), "forms")
+    near = near.filter("what = 'f'").drop("what").unionByName(forms.select("user_id", F.col("family").alias("x"), F.col("family").alias("y")).distinct())
+    # Family names of two forms of one group that are near each other, each way.
+    left = forms.select("grp", "user_id", F.col("family").alias("x"), F.struct("form", "given", "initial").alias("p"))
+    right = forms.select("grp", F.col("family").alias("y"), F.struct("form", "given", "initial").alias("q"))
+    met = cut(left.join(near, ["user_id", "x"]).select("grp", "y", "p").join(right, ["grp", "y"]).filter("p.form != q.form").select("p", "q"), "met")
+    # Initials: resolved to the one full given name that a near family name has, that of the own domain first. One name
+    # is one whose smallest and largest are equal, so no list of names is kept.
+    fits = met.filter("p.given is null and q.given is not null and (p.initial = q.initial or p.initial is null)").select("p.form", F.col("q.form").alias("other"), "q.given")
+    at = person.join(forms, [person[k].eqNullSafe(forms[k]) for k in ("grp", "given", "initial", "family")]).select("form", "domain").filter("domain is not null").distinct()
+    homely = fits.join(at, "form").join(at.select(F.col("form").alias("other"), "domain"), ["other", "domain"]).select("form", "given", F.lit(True).alias("home"))
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
+    named = fits.select("form", "given", F.lit(False).alias("home")).unionByName(homely).groupBy("form").agg(one(F.col("given")).alias("all"), one(F.when(F.col("home"), F.col("given"))).alias("near"))
+    settled = named.select("form", F.coalesce("all", "near", F.lit("?")).alias("resolved"))
+    met = met.filter("p.form < q.form").select(F.col("p.form").alias("a"), F.col("p.given").alias("g1"), F.col("p.initial").alias("i1"), F.col("q.form").alias("b"), F.col("q.given").alias("g2"), F.col("q.initial").alias("i2"))
+    settled = cut(settled, "settled")
+    for side in ("1", "2"):
+        key = "a" if side == "1" else "b"
+        met = met.join(settled.select(F.col("form").alias(key), F.col("resolved").alias("r" + side)), key, "left").withColumn("g" + side, F.coalesce("g" + side, "r" + side))
     both_known = F.col("g1").isin(*sorted(_FULL)) & F.col("g2").isin(*sorted(_FULL))
-    slip = ~both_known & (F.levenshtein("g1", "g2") <= 2) & (F.least(F.length("g1"), F.length("g2")) >= 4)
+    slip = ~both_known & (F.levenshtein("g1", "g2", 2) >= 0) & (F.least(F.length("g1"), F.length("g2")) >= 4)
     agree = F.when(F.col("g1").isNotNull() & F.col("g2").isNotNull(), (F.col("g1") != "?") & ((F.col("g1") == F.col("g2")) | slip)).when(F.col("g1").isNull() & F.col("g2").isNull(), F.col("i1") == F.col("i2")).otherwise(F.lit(False))
-    links = pairs.filter(agree).select("a", "b")
-    roots = connected_components(links)
+    roots = connected_components(met.filter(agree).select("a", "b"))
     of = forms.join(roots, F.col("form") == F.col("node"), "left").select("grp", "given", "initial", "family", F.coalesce("root", "form").alias("root"))
-    keys = ["grp", "given", "initial", "family"]
-    on = [person[k].eqNullSafe(of[k]) if k in ("given", "initial") else person[k] == of[k] for k in keys]
+    on = [person[k].eqNullSafe(of[k]) for k in ("grp", "given", "initial", "family")]
     people = person.join(of, on).select(person["id"], person["user_id"], F.concat_ws("|", F.lit("person"), person["user_id"], "root").alias("party"))
     return org.unionByName(alone).unionByName(people)
 

@@ -22,24 +22,46 @@ def test_local_parts():
     assert names.parse_local("mei87") is None and names.parse_local("hasko.onboarding") is None
 
 
-def test_distance():
-    assert names.distance("kitten", "sitting", 3) == 3 and names.distance("abc", "abcdef", 2) == 3 and names.distance("", "", 2) == 0
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
 
 
-@pytest.mark.parametrize("large", [10_000, 20])
-def test_radius_join_equals_brute_force(spark, large):
-    rnd = random.Random(2)
-    base = ["".join(rnd.choice("abcdeorn") for _ in range(rnd.randint(5, 9))) for _ in range(60)]
+def test_slips():
+    assert names._given_like("jessca") == "jessica" and names._given_like("jessiac") == "jessica" and names._given_like("jessicaa") == "jessica" and names._given_like("xyzw") is None
+
+
+def spellings(seed=2, n=60):
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choice("abcdeorn") for _ in range(rnd.randint(3, 9))) for _ in range(n)]
     words = set(base)
     for w in base:
         for _ in range(3):
             i = rnd.randrange(len(w))
             words.add(w[:i] + rnd.choice(["", rnd.choice("abcdeorn")]) + w[i + 1 :])
-    df = spark.createDataFrame([("g", w) for w in words] + [("h", "solo"), ("h", "sola"), (None, "x"), ("h", None)], "grp string, word string")
-    got = {(r.grp, r.x, r.y, r.d) for r in names.radius_pairs(df, 2, large=large, pivots=8).collect()}
-    ws = sorted(words)
-    want = {("g", a, b, d) for i, a in enumerate(ws) for b in ws[i + 1 :] if (d := names.distance(a, b, 2)) <= 2} | {("h", "sola", "solo", 1)}
-    assert got == want
+    return sorted(w for w in words if w)
+
+
+def test_radius_join_equals_brute_force(spark):
+    ws = spellings()
+    df = spark.createDataFrame([("g", w) for w in ws] + [("h", "soloist"), ("h", "solaist"), ("h", "solaist"), (None, "x"), ("h", None), ("h", "")], "grp string, word string")
+    got = [(r.grp, r.x, r.y, r.d) for r in names.radius_pairs(df, 2).collect()]
+    want = {("g", a, b, d) for i, a in enumerate(ws) for b in ws[i + 1 :] if (d := distance(a, b)) <= (2 if min(len(a), len(b)) >= 6 else 1)} | {("h", "solaist", "soloist", 1)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert names.radius_pairs(df.limit(0)).count() == 0
+
+
+def test_names_are_partitioned_by_pivots(spark):
+    ws = spellings(3, 200)
+    df = spark.createDataFrame([("g", w) for w in ws], "grp string, word string")
+    cells = names.name_cells(df, ws[::60], 2).collect()
+    assert len({r.cell for r in cells}) > 5  # several cells, each name at home in exactly one
+    assert sorted(r.word for r in cells if r.home) == ws
+    assert max(sum(r.cell == c for r in cells) for c in {r.cell for r in cells}) < len(ws)
 
 
 PEOPLE = [

@@ -1,14 +1,18 @@
 """The lines of an email that its sender newly wrote.
 
-1. One Arrow stage explodes each body into lines and gives every line a state
-   from its own message: quoted or forwarded mail and its header lines,
-   sign-off, disclaimer or banner, or possibly new.
-2. Windows over the exploded lines (as hashes of their normalised text, and of
-   runs of words that don't depend on where lines end) then use the other
-   messages: of what several messages of a thread hold, only the message that
-   is first by date keeps it (first authored); closing
-   lines that a sender repeats in several threads are removed from the end of a
-   message backwards.
+1. One Arrow stage explodes every body into its non-blank lines: a hash of the
+   normalised line (quote marks, case and blanks evened out), hashes of its runs
+   of eight words, which don't depend on where lines end, and a proposal what the
+   line may be from its looks (quote header, sign-off, banner).
+2. SQL windows rank the messages of a thread by date. Of a line that several
+   messages of a thread hold, and of a run of words, only the message that is
+   first keeps it: the others repeat it. Short lines between repeated ones go
+   with them.
+3. Closing lines that a sender repeats in several threads are removed from the
+   end of what is left, backwards.
+4. Lines without an earlier message to compare with (the first copy of a quote
+   whose original isn't in the table, header lines, a sign-off used once, banners)
+   are left out by the proposals. ``proposals=False`` shows the windows alone.
 """
 
 from __future__ import annotations
@@ -274,17 +278,18 @@ def normalised(line: str) -> str:
 
 
 GRAM = 8
+LONG, CLOSING = 1, 2  # bits of a line's kind
 
 
-def grams(lines: list[str], state: list[int]) -> dict[int, list[int]]:
-    """Hashes of all runs of eight words of a body's possibly new text, each with the lines it counts for.
+def grams(lines: list[str], use: list[bool]) -> dict[int, list[int]]:
+    """Hashes of all runs of eight words of the used lines, each with the lines it counts for.
 
     The runs go on across line ends, so text that was wrapped anew keeps them;
     one that covers several lines counts for each.
     """
     words, where = [], []
     for i, x in enumerate(lines):
-        if state[i] == NEW:
+        if use[i]:
             own = normalised(x).split()
             words += own
             where += [i] * len(own)
@@ -298,87 +303,102 @@ def grams(lines: list[str], state: list[int]) -> dict[int, list[int]]:
     return out
 
 
-def _stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, no, text, kind, left, marks, covers, runs = [], [], [], [], [], [], [], []
-        for r, body in enumerate(batch.column("body").to_pylist()):
-            if not body:
-                continue
-            states = line_states(body)
-            lines = body.split("\n")
-            remaining = sum(s == NEW for s in states)
-            # Each run travels once, with its first line; two line numbers are packed into one value.
-            prints: dict[int, tuple[list[int], list[int]]] = {}
-            count: dict[int, int] = {}
-            for h, on in grams(lines, states).items():
-                for i in on:
-                    count[i] = count.get(i, 0) + 1
-                own = prints.setdefault(on[0], ([], []))
-                for k in range(0, len(on), 2):
-                    own[0].append(h)
-                    own[1].append((on[k] + 1) << 31 | (on[k + 1] + 1 if k + 1 < len(on) else 0))
-            for i, s in enumerate(states):
-                if s != NEW:
+def _lines(proposals: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, no, text, kind, open_, marks, covers, runs = [], [], [], [], [], [], [], []
+            for r, body in enumerate(batch.column("body").to_pylist()):
+                if not body:
                     continue
-                norm = normalised(lines[i])
-                row.append(r)
-                no.append(i + 1)
-                text.append(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63))
-                words = norm.count(" ") + 1
-                # bit 0: long enough to be told from chance; bit 1: may be a closing line
-                kind.append((len(norm) >= 30 and words >= 5) + 2 * (words <= 9 and norm[-1:] not in ".,!?:;" and not _GREET.match(norm)))
-                left.append(remaining)
-                own = prints.get(i, ([], []))
-                marks.append(own[0])
-                covers.append(own[1])
-                runs.append(count.get(i, 0))
-                remaining -= 1
-        cols = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "thread", "message", "sender", "at")]
-        cols += [pa.array(no, pa.int32()), pa.array(text, pa.int64()), pa.array(kind, pa.int8()), pa.array(left, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(covers, pa.list_(pa.int64())), pa.array(runs, pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "thread", "message", "sender", "at", "line_no", "line", "kind", "left", "grams", "covers", "runs"])
-
-
-def _message(c: type[F] = F) -> Column:
+                lines = body.split("\n")
+                states = line_states(body) if proposals else [NEW if x.strip() else BLANK for x in lines]
+                # Each run travels once, with its first line; two line numbers are packed into one value.
+                prints: dict[int, tuple[list[int], list[int]]] = {}
+                count: dict[int, int] = {}
+                for h, on in grams(lines, [s == NEW for s in states]).items():
+                    for i in on:
+                        count[i] = count.get(i, 0) + 1
+                    own = prints.setdefault(on[0], ([], []))
+                    for k in range(0, len(on), 2):
+                        own[0].append(h)
+                        own[1].append((on[k] + 1) << 31 | (on[k + 1] + 1 if k + 1 < len(on) else 0))
+                for i, s in enumerate(states):
+                    if s == BLANK:
+                        continue
+                    norm = normalised(lines[i])
+                    row.append(r)
+                    no.append(i + 1)
+                    text.append(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63))
+                    words = norm.count(" ") + 1
+                    kind.append(LONG * (len(norm) >= 30 and words >= 5) + CLOSING * (words <= 9 and norm[-1:] not in ".,!?:;" and not _GREET.match(norm)))
+                    open_.append(s == NEW)
+                    own = prints.get(i, ([], []))
+                    marks.append(own[0])
+                    covers.append(own[1])
+                    runs.append(count.get(i, 0))
+            cols = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "thread", "message", "at")]
+            cols += [pa.array(no, pa.int32()), pa.array(text, pa.int64()), pa.array(kind, pa.int8()), pa.array(open_, pa.bool_()), pa.array(marks, pa.list_(pa.int64())), pa.array(covers, pa.list_(pa.int64())), pa.array(runs, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "thread", "message", "at", "line_no", "line", "kind", "open", "grams", "covers", "runs"])
+
+    return run
+
+
+def _message() -> Column:
     """Deliveries of one message share an identity: its RFC id, else account and provider id, else the row."""
     return F.coalesce(F.lower(F.trim("rfc_message_id")), F.concat_ws("|", "account_id", message_key(F.col("provider_message_id"))), F.col("id"))
 
 
-def candidate_lines(emails: DataFrame, participants: DataFrame) -> DataFrame:
-    """One row per line that its own message doesn't show to be old."""
-    senders = participants.filter("part_role = 'from'").groupBy(F.col("email_id").alias("id")).agg(F.min(F.lower(F.trim("raw_address"))).alias("sender"))
+def exploded_lines(emails: DataFrame, proposals: bool = True) -> DataFrame:
+    """One row per non-blank line; ``open`` unless its own message shows it to be old. Bodies aren't shuffled."""
     mails = emails.select(
-        "id", F.coalesce("thread_id", "id").alias("thread"), F.xxhash64(_message()).alias("message"), F.unix_micros(instant(F.col("provider_ts"))).alias("at"), F.col("body_text_full").alias("body")
+        "id", F.xxhash64(F.coalesce("thread_id", "id")).alias("thread"), F.xxhash64(_message()).alias("message"), F.coalesce(F.unix_micros(instant(F.col("provider_ts"))), F.lit(0)).alias("at"), F.col("body_text_full").alias("body")
     )
-    rows = mails.join(senders, "id", "left").select("id", "thread", "message", F.xxhash64(F.coalesce("sender", "id")).alias("sender"), F.coalesce("at", F.lit(0)).alias("at"), "body")
-    return rows.mapInArrow(_stage, "id string, thread string, message long, sender long, at long, line_no int, line long, kind byte, left int, grams array<long>, covers array<long>, runs int")
-
+    return mails.mapInArrow(_lines(proposals), "id string, thread long, message long, at long, line_no int, line long, kind byte, open boolean, grams array<long>, covers array<long>, runs int")
 
-def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int = 3, closing_zone: int = 6) -> DataFrame:
-    """(email_id, line_no) of the lines newly written by the sender, for every row of emails.
 
-    Null and empty bodies have none; a mail without thread or readable time is
-    judged by itself and as the oldest. Repeated deliveries of a message get the
-    same lines. A closing line is one that stands among the last
-    ``closing_zone`` lines in at least ``closing_threads`` threads of its sender.
-    """
-    lines = cut(candidate_lines(emails, participants), "lines")  # read three times: lines are found once
-    # First authored, whatever the line ends: of all messages of a thread with a run of words the earliest keeps it. A
-    # line is old if an earlier message has at least half of its runs.
+def marked_lines(emails: DataFrame, proposals: bool = True) -> DataFrame:
+    """One row per non-blank line with ``repeats`` (an earlier message of the thread has it), ``fresh`` and ``left`` (fresh lines from here to the end)."""
+    lines = cut(exploded_lines(emails, proposals), "lines")  # read twice: lines are found once
+    # First authored, whatever the line ends: of all messages of a thread with a run of words the earliest keeps it.
     runs = lines.select("thread", F.explode(F.arrays_zip("grams", "covers")).alias("run"), "message", "at", F.xxhash64("id").alias("mail"))
     runs = runs.select(F.xxhash64("thread", "run.grams").alias("gram"), "run.covers", "message", "at", "mail")
-    earliest = F.min(F.struct("at", "message")).over(Window.partitionBy("gram"))
-    again = runs.select("mail", "covers", (earliest["message"] != F.col("message")).alias("old")).filter("old")
+    first = F.min(F.struct("at", "message")).over(Window.partitionBy("gram"))["message"]
+    again = runs.select("mail", "covers", (first != F.col("message")).alias("old")).filter("old")
     again = again.select("mail", F.explode(F.array(F.shiftright("covers", 31).cast("int"), F.col("covers").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))).alias("line_no")).filter("line_no > 0")
-    old = again.groupBy("mail", "line_no").agg(F.count("*").alias("old"))
-    lines = lines.drop("grams", "covers").withColumn("mail", F.xxhash64("id")).join(old, ["mail", "line_no"], "left").filter("old is null or old * 2 < runs").drop("mail", "old", "runs")
-    # The same for whole lines, which may be too short for a run.
-    same = Window.partitionBy("thread", "line")
-    first = F.min(F.struct("at", "message")).over(same)
-    told = F.when(F.col("kind").bitwiseAND(F.lit(1).cast("byte")) == 1, first["message"] == F.col("message")).otherwise(True)
-    lines = lines.withColumn("fresh", told)
-    # Closing lines: counted per sender and line, then removed from the end backwards.
-    tail = (F.col("kind").bitwiseAND(F.lit(2).cast("byte")) == 2) & (F.col("left") <= closing_zone)
-    seen = lines.filter(tail).groupBy("sender", "line").agg(F.approx_count_distinct("thread", 0.02).alias("threads")).filter(F.col("threads") >= closing_threads).select("sender", "line", F.lit(True).alias("recurs"))
-    lines = lines.join(seen, ["sender", "line"], "left").withColumn("closes", F.coalesce("recurs", F.lit(False)) & tail)
-    below = Window.partitionBy("id").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("ends", F.min("closes").over(below)).filter("fresh and not ends").select(F.col("id").alias("email_id"), "line_no")
+    # The same for whole lines.
+    first = F.min(F.struct("at", "message")).over(Window.partitionBy("thread", "line"))["message"]
+    lines = lines.select("id", F.xxhash64("id").alias("mail"), "line_no", "thread", "line", "kind", "open", "runs", (first != F.col("message")).alias("seen"))
+    # Both meet by mail: the rows of repeated runs are counted for their line, then only the line's row goes on.
+    both = lines.unionByName(again, allowMissingColumns=True).repartition("mail")
+    own = Window.partitionBy("mail", "line_no")
+    both = both.withColumn("old", F.count_if(F.col("id").isNull()).over(own)).withColumn("copy", F.row_number().over(own.orderBy(F.col("id").isNull()))).filter("copy = 1 and id is not null")
+    by = Window.partitionBy("mail").orderBy("line_no")
+    long = F.col("kind").bitwiseAND(F.lit(LONG).cast("byte")) == LONG
+    both = both.withColumn("sure", F.when(long | (F.col("runs") > 0), (long & F.col("seen")) | ((F.col("runs") > 0) & (F.col("old") * 2 >= F.col("runs")))))
+    above = F.last("sure", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    below = F.first("sure", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    both = both.withColumn("repeats", F.coalesce("sure", F.col("seen") & F.coalesce(above, F.lit(False)) & F.coalesce(below, F.lit(False)))).withColumn("fresh", F.col("open") & ~F.col("repeats"))
+    return both.select("id", "line_no", "thread", "line", "kind", "open", "repeats", "fresh", F.count_if("fresh").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("left"))
+
+
+def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int = 3, closing_zone: int = 6, proposals: bool = True, salts: int = 16) -> DataFrame:
+    """(email_id, line_no) of the lines newly written by the sender, for every id of emails.
+
+    Null and empty bodies have none; a mail without thread or readable time is
+    judged by itself and as the oldest; repeated rows of one id count once.
+    Repeated deliveries of a message get the same lines. A closing line is one
+    that stands among the last ``closing_zone`` fresh lines in at least
+    ``closing_threads`` threads of its sender.
+    """
+    lines = cut(marked_lines(emails, proposals).filter("fresh").select("id", "line_no", "thread", "line", "kind", "left"), "fresh")
+    senders = participants.filter("part_role = 'from' and email_id is not null").groupBy(F.col("email_id").alias("id")).agg(F.min(F.lower(F.trim("raw_address"))).alias("sender"))
+    tails = lines.filter((F.col("kind").bitwiseAND(F.lit(CLOSING).cast("byte")) == CLOSING) & (F.col("left") <= closing_zone))
+    tails = cut(tails.join(senders, "id", "left").select("id", "left", "thread", F.xxhash64(F.coalesce("sender", "id"), "line").alias("closing")), "tails")
+    often = tails.groupBy("closing").agg(F.count_distinct("thread").alias("threads")).filter(F.col("threads") >= closing_threads)
+    # A line that one sender repeats in a third of all mails is spread over several tasks.
+    spread = often.select("closing", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    closing = tails.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["closing", "salt"])
+    # How many lines from the end on are closings without a gap: the trailing ones of a bit mask of places.
+    mask = F.bit_or(F.expr("shiftleft(1L, left - 1)" if closing_zone < 63 else "0L"))
+    ends = closing.withColumn("left", F.col("left").cast("int")).groupBy("id").agg(mask.alias("mask")).select("id", (F.bit_count(F.col("mask").bitwiseXOR(F.col("mask") + 1)) - 1).alias("closings"))
+    return lines.join(ends, "id", "left").filter(F.col("left") > F.coalesce("closings", F.lit(0))).select(F.col("id").alias("email_id"), "line_no")

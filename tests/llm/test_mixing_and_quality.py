@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,11 +18,26 @@ def test_shares_and_caps(spark):
     m = mixing.Mixture(d, t)
     got = {r.source: r for r in m.report().collect()}
     for s in ("big", "mid", "small"):
-        assert abs(got[s].reached_share - got[s].reachable_share) < 0.02 and got[s].most_copies <= got[s].max_repeats
+        assert abs(got[s].reached_share - got[s].reachable_share) < 0.002 and got[s].most_copies <= got[s].max_repeats
     assert got["absent"].reached_share == 0 and abs(got["big"].reachable_share - 0.5 / 0.9) < 1e-9
     assert {r.source for r in m.documents.select("source").distinct().collect()} == {"big", "mid", "small"}
 
 
+def test_descent_never_rises_and_meets_both_totals():
+    rng = np.random.default_rng(1)
+    hard = np.repeat(np.arange(3), 40)
+    tokens = rng.uniform(0.5, 2.0, 120)
+    post = rng.dirichlet(np.ones(3) * 0.4, 120) * 0.5
+    post[np.arange(120), hard] += 0.5
+    tokens /= (tokens * 0.3).sum()
+    goal, caps = np.array([0.5, 0.3, 0.2]), np.array([1.0, 2.0, 3.0])
+    start = goal / np.bincount(hard, tokens)
+    rates, objectives = mixing.fit_rates(tokens, post * tokens[:, None], hard, caps, goal, start)
+    assert all(b <= a + 1e-15 for a, b in zip(objectives, objectives[1:])) and objectives[-1] < 1e-8 < objectives[0]
+    assert (rates >= 0).all() and (rates <= caps[hard]).all()
+    assert np.allclose(np.bincount(hard, tokens * rates), goal, atol=1e-9) and np.allclose(rates @ (post * tokens[:, None]), goal, atol=2e-4)
+
+
 def test_nothing_to_mix(spark):
     t = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.Mixture(docs(spark).limit(0), t).documents.count() == 0

@@ -1,14 +1,19 @@
 """Per-document text statistics, their quantile sketches, and the form of a text.
 
-1. One Arrow stage turns each text into counts (words, symbols, lines by their
-   looks, frequent words, repeated three-word runs). Whole texts, no shuffle.
+1. One Arrow stage turns each text into statistics: words, symbols, frequent
+   words, repeated three-word runs, and the shares of its characters on lines
+   that look like list entries, short lines, rows of fields or noise. Whole
+   texts, no shuffle.
 2. Per language each statistic goes into a mergeable KLL quantile sketch; the
    sketches' medians and quartiles are a table of a few rows.
-3. Values become robust z-scores (distance from the median in units of
-   IQR / 1.349); a distribution tail is a score beyond a bound.
-4. The form is that of the greater part of the characters. Lines that look the
-   same in prose and elsewhere (short lines without a mark, lines of odd
-   words) count as list or junk only in documents that lie in a tail.
+3. Values become robust z-scores: the distance from the median in units of the
+   spread on the other side of it, which the tail in question doesn't reach. (A
+   quarter of a language's texts may be lists and tables; the spread on their own
+   side would grow with them.)
+4. Distribution tails are flagged. Each form has its tail: far too large a share
+   of its lines; for short lines and odd words only together with a tail of the
+   words (too few frequent ones, strange symbols). Of several tails the form with
+   the greater part of the text wins.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 from quillfold.session import cut
 
 STATS = ("mean_word_len", "symbol_ratio", "line_end_ratio", "common_ratio", "repeat_ratio", "odd_ratio")
-SHARES = ("list_share", "bare_share", "table_share", "junk_share", "mash_share")
+SHARES = ("list_share", "short_share", "table_share", "junk_share", "noise_share")
+#: Least spread of each statistic: a flat distribution has no smaller unit.
+LEAST_SPREAD = {"mean_word_len": 0.2, "symbol_ratio": 0.005, "line_end_ratio": 0.05, "common_ratio": 0.02, "repeat_ratio": 0.1, "odd_ratio": 0.005} | dict.fromkeys(SHARES, 0.05)
 
 _HIGH_SYMBOL = re.compile(r"[^\x00-\x7f\w\s]")
 _NO_SYMBOL = bytes(i for i in range(256) if i >= 128 or chr(i).isalnum() or i <= 32)
@@ -138,7 +145,7 @@ def measure(text: str, frequent: frozenset[str]) -> dict[str, float] | None:
             mash += size
         elif size <= 64 and len(s.split()) <= 8 and s[-1] not in "!?" and not (s[-1] == "." and len(s.split()) > 5):
             bare += size
-    return out | {"list_share": listed / total, "bare_share": bare / total, "table_share": table / total, "junk_share": junk / total, "mash_share": mash / total}
+    return out | {"list_share": listed / total, "short_share": (listed + bare) / total, "table_share": table / total, "junk_share": junk / total, "noise_share": (junk + mash) / total}
 
 
 def _stage(frequent: dict[str, frozenset[str]], keys: list[str]):
@@ -182,43 +189,50 @@ def text_statistics(docs: DataFrame, frequent: dict[str, frozenset[str]], key: s
 
 def sketches(stats: DataFrame) -> DataFrame:
     """One row per language: KLL sketches of each statistic, mergeable with those of other batches."""
-    return stats.groupBy("lang").agg(*[F.kll_sketch_agg_double(k).alias(k) for k in STATS])
+    return stats.groupBy("lang").agg(*[F.kll_sketch_agg_double(k).alias(k) for k in LEAST_SPREAD])
 
 
 def merge_sketches(parts: DataFrame) -> DataFrame:
     """Sketches of several batches as one per language."""
-    return parts.groupBy("lang").agg(*[F.kll_merge_agg_double(k).alias(k) for k in STATS])
+    return parts.groupBy("lang").agg(*[F.kll_merge_agg_double(k).alias(k) for k in LEAST_SPREAD])
 
 
 def robust_scores(stats: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
-    """Adds ``z_<statistic>``: distance from the language's median over IQR / 1.349 (a flat distribution uses a small floor).
+    """Adds ``z_<statistic>``: distance from the language's median over the spread on the other side (quartile distance / 0.6745, at least a small unit).
 
     ``quantiles`` are sketches as of :func:`sketches`; without them those of
     ``stats`` are made. There is one row for each known language, so the join
     is a broadcast of a few rows.
     """
     sk = sketches(stats) if quantiles is None else quantiles
-    q = sk.select("lang", *[F.kll_sketch_get_quantile_double(k, F.lit(p)).alias(f"_{k}_{n}") for k in STATS for n, p in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75))])
-    floor = {"mean_word_len": 0.2, "symbol_ratio": 0.005, "line_end_ratio": 0.05, "common_ratio": 0.01, "repeat_ratio": 0.02, "odd_ratio": 0.005}
-    z = [((F.col(k) - F.col(f"_{k}_mid")) / F.greatest((F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) / F.lit(1.349), F.lit(floor[k]))).alias(f"z_{k}") for k in STATS]
-    return stats.join(F.broadcast(q), "lang").select(*stats.columns, *z)
+    q = sk.select("lang", *[F.kll_sketch_get_quantile_double(k, F.lit(p)).alias(f"_{k}_{n}") for k in LEAST_SPREAD for n, p in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75))])
 
+    def z(k: str):
+        x, mid = F.col(k), F.col(f"_{k}_mid")
+        spread = F.when(x < mid, F.col(f"_{k}_hi") - mid).otherwise(mid - F.col(f"_{k}_lo")) / F.lit(0.6745)
+        return ((x - mid) / F.greatest(spread, F.lit(LEAST_SPREAD[k]))).alias(f"z_{k}")
 
-def forms(scored: DataFrame, key: str = "doc_id", tail: float = 1.5, far: float = 3.0) -> DataFrame:
-    """(key, form): ``list``, ``table`` or ``junk``; natural prose is left out."""
+    return stats.join(F.broadcast(q), "lang").select(*stats.columns, *[z(k) for k in LEAST_SPREAD])
+
+
+def forms(scored: DataFrame, key: str = "doc_id", tail: float = 4.5, far: float = 10.0) -> DataFrame:
+    """(key, form): ``list``, ``table`` or ``junk`` for texts in a tail; natural prose is left out.
+
+    ``tail`` bounds the scores of words and symbols, ``far`` those of line
+    shares, whose unit is a twentieth of the text.
+    """
+    z = lambda k: F.col(f"z_{k}")
     c = F.col
-    low_words = (c("z_common_ratio") < -tail) | (c("common_ratio") < 0.12)
-    strange = (c("z_symbol_ratio") > far) | (c("z_odd_ratio") > far) | (c("z_mean_word_len") > far) | (c("z_common_ratio") < -tail)
-    short = c("list_share") + c("bare_share")
-    listed = F.when(low_words | ((short > 0.8) & (c("n_lines") >= 4)), short).otherwise(c("list_share"))
-    junk = c("junk_share") + F.when(strange, c("mash_share")).otherwise(0.0)
-    repeated = (c("z_repeat_ratio") > far) & (c("repeat_ratio") > 0.7) & (c("table_share") < 0.5) & (c("list_share") < 0.5)
-    form = (
-        F.when(repeated, "junk")
-        .when((junk > 0.5) & (junk >= c("table_share")), "junk")
-        .when((c("table_share") > 0.5) & (c("table_share") >= listed), "table")
-        .when(listed > 0.5, "list")
-    )
+    few_frequent = z("common_ratio") < -tail
+    strange = few_frequent | (z("symbol_ratio") > tail) | (z("odd_ratio") > tail) | (z("mean_word_len") > tail)
+    noise = (z("junk_share") > far) | (strange & (z("noise_share") > far))
+    table = z("table_share") > far
+    listed = (z("list_share") > far) | ((z("short_share") > far) & (few_frequent | ((z("short_share") > 1.6 * far) & (c("n_lines") >= 4))))
+    repeats = (z("repeat_ratio") > 0.7 * far) & ~table & ~(z("list_share") > far)
+    of = lambda flag, share: F.when(flag, share).otherwise(0.0)
+    junk_part = F.when(repeats, 1.0).otherwise(of(noise, c("noise_share")))
+    list_part, table_part = of(listed, c("short_share")), of(table, c("table_share"))
+    form = F.when(repeats | (noise & (junk_part >= table_part) & (junk_part >= list_part)), "junk").when(table & (table_part >= list_part), "table").when(listed, "list")
     return scored.select(key, form.alias("form")).filter("form is not null")
 
 

@@ -52,9 +52,9 @@ PROSE = "The plan for the audit is on the table, and it is clear that nobody has
     "text,share",
     [
         ("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "table_share"), ("x,y,z\n1,2,3\n4,5,6\n7,8,9", "table_share"), ("name        due          n\n----------------------\nalpha       2026-01-01   3\nbeta        2026-01-02   4", "table_share"), ("a\tb\n1\t2\n3\t4", "table_share"),
-        ("- one thing\n- another thing\n- a third", "list_share"), ("1. one\n2. two\n3. three", "list_share"), ("send the plan\ncheck the budget\nopen the door", "bare_share"),
+        ("- one thing\n- another thing\n- a third", "list_share"), ("1. one\n2. two\n3. three", "list_share"), ("send the plan\ncheck the budget\nopen the door", "short_share"),
         ("jZfVf9yMAHV92rPrHJ6arW5IbqTy3XmKRISpVynabA\nuTzJy+hpcd+sX6AFlXGIbgfPYuzHPlAQJq9z+rUgik", "junk_share"), ("<td style='x'></td><br/>&nbsp;<span></span>", "junk_share"), ("====== ##### ~~~~~ ***** -----", "junk_share"), ("00000000  71 84 a7 dd d4 2f 1a 86 76 c9 5b 1a\n00000010  a9 c1 e4 47 aa ac 8e 25 88 69 97 a0", "junk_share"),
-        ("g['[gg;hkqp otr;fa;r'urghd kjfe'qdlhqeosf", "mash_share"),
+        ("g['[gg;hkqp otr;fa;r'urghd kjfe'qdlhqeosf", "noise_share"),
     ],
 )
 def test_line_kinds(text, share):
@@ -71,13 +71,17 @@ def test_statistics():
 
 
 def test_forms_and_sketches(spark):
-    rows = [(i, PROSE + f" Number {i} is of that kind.", "en" if i % 3 else None, "clash") for i in range(60)] + [(100, "- one\n- two\n- three", "EN", ""), (101, "a;b;c\n1;2;3\n4;5;6", "xx", ""), (102, "unsubscribe " * 30, "en", ""), (103, None, "en", ""), (104, " ", "en", "")]
+    once = PROSE[: len(PROSE) // 3] + "There is more of that to come for the rest of it, with a few words on what to do in time."
+    rows = [(i, once + f" Number {i} is of that kind.", "en" if i % 3 else None, "clash") for i in range(60)] + [(100, "- one\n- two\n- three", "EN", ""), (101, "a;b;c\n1;2;3\n4;5;6", "xx", ""), (102, "unsubscribe " * 30, "en", ""), (103, None, "en", ""), (104, " ", "en", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string")
     words = spark.createDataFrame([("en", w) for w in WORDS] + [("de", None)], "lang string, word string")
     assert {tuple(r) for r in textquality.document_forms(df, words).collect()} == {(100, "list"), (101, "table"), (102, "junk")}
     assert textquality.document_forms(df.limit(0), words).count() == 0
     stats = textquality.text_statistics(df, textquality.frequent_words(words)).cache()
     parts = textquality.sketches(stats.filter("doc_id % 2 = 0")).unionByName(textquality.sketches(stats.filter("doc_id % 2 = 1")))
+    # The scores decide: without them nothing is flagged.
+    zeroed = textquality.robust_scores(stats).withColumns({f"z_{k}": F.lit(0.0) for k in textquality.LEAST_SPREAD})
+    assert textquality.forms(zeroed).count() == 0
     merged = textquality.robust_scores(stats, textquality.merge_sketches(parts))
     whole = textquality.robust_scores(stats)
     a, b = ({r.doc_id: r.z_symbol_ratio for r in x.collect()} for x in (merged, whole))

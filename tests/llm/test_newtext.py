@@ -75,9 +75,9 @@ def test_windows_alone_find_quotes_and_closings(spark):
     """Without proposals from looks, repeated lines, short lines between them and recurrent closings still go."""
     said = ["the first long line that somebody wrote about the plan", "yes", "the second long line that somebody wrote about the plan"]
     rows = [(f"a{k}", f"a{k}", f"t{k}", "2026-01-01T10:00:00Z", "\n".join(f"{x} {k}" if i != 1 else x for i, x in enumerate(said)) + "\nthe old crew") for k in range(4)]
-    rows += [(f"b{k}", f"b{k}", f"t{k}", "2026-01-02T10:00:00Z", "my own answer is rather short number %d\nyes\n" % k + "\n".join(f"> {x} {k}" if i != 1 else "> yes" for i, x in enumerate(said))) for k in range(4)]
+    rows += [(f"b{k}", f"b{k}", f"t{k}", "2026-01-02T10:00:00Z", f"my own answer is rather short number {k}\nyes\nand one more remark of my own, number {k}\n" + "\n".join(f"> {x} {k}" if i != 1 else "> yes" for i, x in enumerate(said))) for k in range(4)]
     mails = spark.createDataFrame([(i, "a", m, None, t, ts, b, "clash") for i, m, t, ts, b in rows], SCHEMA)
     parts = spark.createDataFrame([(f"{x}{k}", "from", 0, f"{x}@x.example") for x in "ab" for k in range(4)], "email_id string, part_role string, part_no int, raw_address string")
     got = {tuple(r) for r in newtext.new_lines(mails, parts, proposals=False).collect()}
-    assert got == {(f"a{k}", n) for k in range(4) for n in (1, 2, 3)} | {(f"b{k}", n) for k in range(4) for n in (1, 2)}
+    assert got == {(f"a{k}", n) for k in range(4) for n in (1, 2, 3)} | {(f"b{k}", n) for k in range(4) for n in (1, 2, 3)}
     assert {tuple(r) for r in newtext.new_lines(mails.union(mails), parts.union(parts), proposals=False).collect()} == got  # repeated rows count once

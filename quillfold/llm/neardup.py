@@ -26,22 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.llm import sigtree
+from quillfold.operators.delivery import surplus_deliveries
 from quillfold.session import cut
 
 WORDS64 = 4  # 64-bit words of a bitmap
-#: What a cell keeps of a text, packed into one value.
-RECORD = np.dtype([("size", "<i4"), ("room", "<i4"), ("lost", "<i4"), ("side", "<i4"), ("bits", "<u8", (WORDS64,))])
+#: What a cell keeps of a text besides its number and size, packed into one value.
+RECORD = np.dtype([("room", "<i4"), ("lost", "<i4"), ("side", "i1"), ("bits", "<u8", (WORDS64,))])
 
 
-def word_sets(texts: DataFrame, key: str, text: str, least: int, *keep: str) -> DataFrame:
-    """(key, *keep, words): sorted distinct word hashes of texts with at least ``least`` distinct words.
+def word_sets(texts: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """(key, *keep, words): sorted distinct word hashes of each text.
 
     A word is a run of letters, digits and underscores, case ignored. Null
     texts have no words.
     """
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     words = F.transform(F.array_distinct(found), lambda w: F.xxhash64(w))
-    return texts.select(key, *keep, F.array_sort(words).alias("words")).filter(F.size("words") >= least)
+    return texts.select(key, *keep, F.array_sort(words).alias("words"))
 
 
 def word_order(sets: DataFrame, buckets: int) -> np.ndarray:
@@ -96,9 +97,9 @@ def _postings(order, t: float, block: int):
                 sides.append(np.where(i == j, 2, np.where(mine[k] == i, 0, 1)).astype(np.int8))
             r = np.concatenate(rows)
             record = np.empty(len(r), RECORD)
-            record["size"], record["lost"], record["room"], record["side"], record["bits"] = sizes[r], lost[r], np.concatenate(rooms), np.concatenate(sides), bits[r]
+            record["lost"], record["room"], record["side"], record["bits"] = lost[r], np.concatenate(rooms), np.concatenate(sides), bits[r]
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD.itemsize), len(r), [None, pa.py_buffer(record.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(record["size"]), batch.column("rep").take(pa.array(r)), packed], names=["cell", "size", "rep", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(sizes[r].astype(np.int32)), batch.column("h").take(pa.array(r)), packed], names=["cell", "size", "h", "packed"])
 
     return run
 
@@ -123,9 +124,10 @@ def _traverse(t: float, hold: int):
     def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
         cell = part.column("cell").to_numpy()
         record = np.concatenate([_unpacked(c) for c in part.column("packed").chunks])
-        size, room, lost, side = (record[k] for k in ("size", "room", "lost", "side"))
+        size = part.column("size").to_numpy()
+        room, lost, side = (record[k] for k in ("room", "lost", "side"))
         bits = np.ascontiguousarray(record["bits"])
-        rep = part.column("rep").combine_chunks()
+        rep = part.column("h").combine_chunks()
         tree = sigtree.Tree(cell, None if (side == 2).all() else side, size, room, bits, lost)
         for a, b in sigtree.similar(tree, t):
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b))], names=["a", "b"])
@@ -163,41 +165,51 @@ def similar_sets(sets: DataFrame, t: float, buckets: int = 1 << 20, block: int =
     # A text has a record for about 1 - t of its words, with more where a cell has several stripes.
     records_in_all = int(((1 - t) * counts * -(-counts.astype(np.int64) // block)).sum())
     parts = max(least, records_in_all // task_records + 1)
-    records = sets.mapInArrow(_postings(order, t, block), "cell long, size int, rep string, packed binary")
+    # Records name a text by a hash of its key: should two keys share one, the verification tells them apart.
+    sets = sets.withColumn("h", F.xxhash64("rep"))
+    records = sets.select("h", "words").mapInArrow(_postings(order, t, block), "cell long, size int, h long, packed binary")
     found = (
         records.repartition(parts, F.col("cell"))
         .sortWithinPartitions("cell", "size")
-        .mapInArrow(_traverse(t, hold), "a string, b string")
+        .mapInArrow(_traverse(t, hold), "a long, b long")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     found = cut(found, "pairs")
     # Both joins read one and the same exchange of the sets; only sets of pairs travel on.
-    left = found.join(sets, found["a"] == sets["rep"]).select("a", "b", F.col("words").alias("wa"))
-    both = left.join(sets, left["b"] == sets["rep"]).select("a", "b", F.size("wa").alias("na"), F.size("words").alias("nb"), F.array_intersect("wa", F.col("words")).alias("both"))
+    left = found.join(sets, found["a"] == sets["h"]).select("a", "b", F.col("rep").alias("ra"), F.col("words").alias("wa"))
+    both = left.join(sets, left["b"] == sets["h"]).filter((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rep")))
+    both = both.select(F.least("ra", "rep").alias("a"), F.greatest("ra", "rep").alias("b"), (F.size("wa") + F.size("words")).alias("sum"), F.array_intersect("wa", F.col("words")).alias("both"))
     # The intersection is found once a pair: the filter needs its size only.
-    shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size("both").alias("shared"))
+    shared = both.select("a", "b", "sum", F.size("both").alias("shared"))
     return shared.filter(F.col("shared") * F.lit(1 + t) >= F.lit(t) * F.col("sum") - F.lit(1e-9)).select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("all"))
 
 
-def near_duplicates(texts: DataFrame, key: str, text: str, group: str, t: float, least: int) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, key: str, text: str, group: str, t: float, least: int, left_out: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts.
 
-    members: (key, group, rep, copies), one row per text with enough words, repeated rows once; ``rep`` is
-    the smallest key with the same set of words. links: (a, b, shared, all)
-    between representatives.
+    members: (key, group, rep, copies), one row per text with enough words,
+    repeated rows once; ``rep`` is the smallest key with the same set of words.
+    links: (a, b, shared, all) between representatives. ``left_out`` names keys
+    that don't count, in its only column.
     """
-    # Texts are tokenised once; everything below reads the sets from there.
-    sets = word_sets(texts, key, text, least, group).withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
-    sets = cut(sets, "sets")
-    # Equal sets meet by their short id only; words travel for the sets that occur more than once, one copy a task.
-    several = cut(sets.groupBy("set_id").agg(F.min(key).alias("rep"), F.count("*").alias("rows"), F.count_distinct(key).alias("copies")).filter("rows > 1"), "several")
-    members = sets.select(key, group, "set_id").join(several, "set_id", "left").select(key, group, F.coalesce("rep", F.col(key)).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    members = cut(members.dropDuplicates([key]), "members")
-    single = sets.join(several, "set_id", "left_anti").select(F.col(key).alias("rep"), "words")
-    repeated = sets.join(several.select("set_id", "rep"), "set_id").groupBy("set_id").agg(F.first("rep").alias("rep"), F.first("words").alias("words")).select("rep", "words")
-    unique = single.unionByName(repeated)
-    return members, similar_sets(cut(unique, "unique"), t)
+    # Texts are tokenised once, where they lie. All that decides who represents whom is done on keys and short set ids;
+    # words travel for the verification only.
+    sets = word_sets(texts, key, text, group).withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
+    sets = cut(sets, "sets").filter(F.size("words") >= least)
+    rows = sets.select(key, group, "set_id")
+    if left_out is not None:
+        rows = rows.join(left_out.toDF(key), key, "left_anti")
+    rows = rows.groupBy(key).agg(F.min(group).alias(group), F.min("set_id").alias("set_id"), F.count("*").alias("rows"))
+    rows = cut(rows, "keys")
+    several = rows.groupBy("set_id").agg(F.min(key).alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    members = rows.join(several, "set_id", "left").select(key, group, "rows", F.coalesce("rep", F.col(key)).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    members = cut(members, "members")
+    reps = members.filter(F.col("rep") == F.col(key))
+    surplus = sets.select(key).join(reps.filter("rows = 1").select(key), key, "left_anti").distinct()
+    single = sets.join(cut(surplus, "surplus"), key, "left_anti").select(F.col(key).alias("rep"), "words")
+    repeated = sets.join(cut(reps.filter("rows > 1").select(key), "repeated"), key, "left_semi").groupBy(key).agg(F.first("words").alias("words")).select(F.col(key).alias("rep"), "words")
+    return members.drop("rows"), similar_sets(cut(single.unionByName(repeated), "unique"), t)
 
 
 def pairs_across(members: DataFrame, links: DataFrame, key: str, group: str, expand: int = 200) -> DataFrame:
@@ -233,11 +245,10 @@ def classes(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(key, F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def mail_texts(emails: DataFrame) -> DataFrame:
-    """(id, text, thread) of the kept row of each message; a mail without thread is a thread of its own."""
-    from quillfold.operators.delivery import unique_emails
-
-    return unique_emails(emails).select("id", F.concat_ws(" ", "subject", "body_text_full").alias("text"), F.coalesce("thread_id", "id").alias("thread"))
+def _mails(emails: DataFrame, t: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members and links of the kept row of each message; a mail without thread is a thread of its own."""
+    texts = emails.select("id", F.concat_ws(" ", "subject", "body_text_full").alias("text"), F.coalesce("thread_id", "id").alias("thread"))
+    return near_duplicates(texts, "id", "text", "thread", t, least, surplus_deliveries(emails))
 
 
 def similar_mails(emails: DataFrame, t: float = 0.7, least: int = 40) -> DataFrame:
@@ -246,12 +257,11 @@ def similar_mails(emails: DataFrame, t: float = 0.7, least: int = 40) -> DataFra
     Mails with fewer than ``least`` distinct words, null and empty ones
     included, are left out; of repeated deliveries only the kept row counts.
     """
-    members, links = near_duplicates(mail_texts(emails), "id", "text", "thread", t, least)
-    members = members.select("id", "rep", "copies", "thread")
+    members, links = _mails(emails, t, least)
     return pairs_across(members, links, "id", "thread").select(F.col("a").alias("email_a"), F.col("b").alias("email_b"))
 
 
 def mail_classes(emails: DataFrame, t: float = 0.7, least: int = 40) -> DataFrame:
     """(id, class_id, copies, links) for each mail with enough words."""
-    members, links = near_duplicates(mail_texts(emails), "id", "text", "thread", t, least)
+    members, links = _mails(emails, t, least)
     return classes(members, links, "id")

@@ -357,7 +357,10 @@ def exploded_lines(emails: DataFrame, proposals: bool = True) -> DataFrame:
 
 
 def marked_lines(emails: DataFrame, proposals: bool = True) -> DataFrame:
-    """One row per non-blank line with ``repeats`` (an earlier message of the thread has it), ``fresh`` and ``left`` (fresh lines from here to the end)."""
+    """One row per non-blank line with ``repeats`` (an earlier message of the thread has it), ``fresh`` and ``left`` (fresh lines from here to the end).
+
+    ``mail`` is a hash of the id, which is half as long: a line is shuffled twice.
+    """
     lines = cut(exploded_lines(emails, proposals), "lines")  # read twice: lines are found once
     # First authored, whatever the line ends: of all messages of a thread with a run of words the earliest keeps it.
     runs = lines.select("thread", F.explode(F.arrays_zip("grams", "covers")).alias("run"), "message", "at", F.xxhash64("id").alias("mail"))
@@ -367,18 +370,19 @@ def marked_lines(emails: DataFrame, proposals: bool = True) -> DataFrame:
     again = again.select("mail", F.explode(F.array(F.shiftright("covers", 31).cast("int"), F.col("covers").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))).alias("line_no")).filter("line_no > 0")
     # The same for whole lines.
     first = F.min(F.struct("at", "message")).over(Window.partitionBy("thread", "line"))["message"]
-    lines = lines.select("id", F.xxhash64("id").alias("mail"), "line_no", "thread", "line", "kind", "open", "runs", (first != F.col("message")).alias("seen"))
+    lines = lines.select(F.xxhash64("id").alias("mail"), "line_no", "message", "at", "thread", "line", "kind", "open", "runs")
+    lines = lines.select("mail", "line_no", "thread", "line", "kind", "open", "runs", (first != F.col("message")).alias("seen"))
     # Both meet by mail: the rows of repeated runs are counted for their line, then only the line's row goes on.
     both = lines.unionByName(again, allowMissingColumns=True).repartition("mail")
     own = Window.partitionBy("mail", "line_no")
-    both = both.withColumn("old", F.count_if(F.col("id").isNull()).over(own)).withColumn("copy", F.row_number().over(own.orderBy(F.col("id").isNull()))).filter("copy = 1 and id is not null")
+    both = both.withColumn("old", F.count_if(F.col("line").isNull()).over(own)).withColumn("copy", F.row_number().over(own.orderBy(F.col("line").isNull()))).filter("copy = 1 and line is not null")
     by = Window.partitionBy("mail").orderBy("line_no")
     long = F.col("kind").bitwiseAND(F.lit(LONG).cast("byte")) == LONG
     both = both.withColumn("sure", F.when(long | (F.col("runs") > 0), (long & F.col("seen")) | ((F.col("runs") > 0) & (F.col("old") * 2 >= F.col("runs")))))
     above = F.last("sure", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     below = F.first("sure", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
     both = both.withColumn("repeats", F.coalesce("sure", F.col("seen") & F.coalesce(above, F.lit(False)) & F.coalesce(below, F.lit(False)))).withColumn("fresh", F.col("open") & ~F.col("repeats"))
-    return both.select("id", "line_no", "thread", "line", "kind", "open", "repeats", "fresh", F.count_if("fresh").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("left"))
+    return both.select("mail", "line_no", "thread", "line", "kind", "open", "repeats", "fresh", F.count_if("fresh").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("left"))
 
 
 def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int = 3, closing_zone: int = 6, proposals: bool = True, salts: int = 16) -> DataFrame:
@@ -390,15 +394,16 @@ def new_lines(emails: DataFrame, participants: DataFrame, closing_threads: int =
     that stands among the last ``closing_zone`` fresh lines in at least
     ``closing_threads`` threads of its sender.
     """
-    lines = cut(marked_lines(emails, proposals).filter("fresh").select("id", "line_no", "thread", "line", "kind", "left"), "fresh")
-    senders = participants.filter("part_role = 'from' and email_id is not null").groupBy(F.col("email_id").alias("id")).agg(F.min(F.lower(F.trim("raw_address"))).alias("sender"))
+    lines = cut(marked_lines(emails, proposals).filter("fresh").select("mail", "line_no", "thread", "line", "kind", "left"), "fresh")
+    senders = participants.filter("part_role = 'from' and email_id is not null").groupBy(F.xxhash64("email_id").alias("mail")).agg(F.min(F.lower(F.trim("raw_address"))).alias("sender"))
     tails = lines.filter((F.col("kind").bitwiseAND(F.lit(CLOSING).cast("byte")) == CLOSING) & (F.col("left") <= closing_zone))
-    tails = cut(tails.join(senders, "id", "left").select("id", "left", "thread", F.xxhash64(F.coalesce("sender", "id"), "line").alias("closing")), "tails")
+    tails = cut(tails.join(senders, "mail", "left").select("mail", "left", "thread", F.xxhash64(F.coalesce("sender", F.col("mail").cast("string")), "line").alias("closing")), "tails")
     often = tails.groupBy("closing").agg(F.count_distinct("thread").alias("threads")).filter(F.col("threads") >= closing_threads)
     # A line that one sender repeats in a third of all mails is spread over several tasks.
     spread = often.select("closing", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    closing = tails.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["closing", "salt"])
+    closing = tails.withColumn("salt", F.pmod(F.col("mail"), F.lit(salts)).cast("int")).join(spread, ["closing", "salt"])
     # How many lines from the end on are closings without a gap: the trailing ones of a bit mask of places.
     mask = F.bit_or(F.expr("shiftleft(1L, left - 1)" if closing_zone < 63 else "0L"))
-    ends = closing.withColumn("left", F.col("left").cast("int")).groupBy("id").agg(mask.alias("mask")).select("id", (F.bit_count(F.col("mask").bitwiseXOR(F.col("mask") + 1)) - 1).alias("closings"))
-    return lines.join(ends, "id", "left").filter(F.col("left") > F.coalesce("closings", F.lit(0))).select(F.col("id").alias("email_id"), "line_no")
+    ends = closing.withColumn("left", F.col("left").cast("int")).groupBy("mail").agg(mask.alias("mask")).select("mail", (F.bit_count(F.col("mask").bitwiseXOR(F.col("mask") + 1)) - 1).alias("closings"))
+    new = lines.join(ends, "mail", "left").filter(F.col("left") > F.coalesce("closings", F.lit(0))).select("mail", "line_no")
+    return new.join(emails.select(F.xxhash64("id").alias("mail"), F.col("id").alias("email_id")).distinct(), "mail").select("email_id", "line_no")

@@ -10,22 +10,19 @@ from quillfold.streaming import feeds
 
 
 def _events(spark: SparkSession, d: str, twice: bool = False) -> DataFrame:
-    """The event table as a stream of one file (twice: each file delivered two times)."""
+    """The event table as a stream of six files in six micro-batches, every thirteenth row one file late (twice: the first file delivered again)."""
     t = load(spark, d, "events")
-    if not twice:
-        return feeds.source(spark, f"{d}/events.parquet", t) if not d.endswith("/") and _is_folder(spark, f"{d}/events.parquet") else feeds.source(spark, _staged(t), t)
-    return feeds.source(spark, _staged(t, 2), t)
+    late = F.when(F.pmod("event_id", F.lit(13)) == 0, 1).otherwise(0)
+    piece = F.least(F.lit(5), F.floor((F.dayofmonth("ts") - 1) / 5) + late)
+    return feeds.source(spark, _staged(t, piece, 6, twice), t)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def _staged(t: DataFrame, times: int = 1) -> str:
+def _staged(t: DataFrame, piece: F.Column, pieces: int, again: bool = False) -> str:
+    """A folder with one file for each of the pieces 0, 1, ..., written in this order."""
     path = shared_path(t.sparkSession, "feed")
-    for _ in range(times):
-        t.coalesce(1).write.mode("append").parquet(path)
+    rows = t.withColumn("_piece", piece)
+    for i in [*range(pieces), *([0] if again else [])]:
+        rows.filter(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -43,10 +40,14 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The change feed followed as a stream; the result is that of p1_found."""
+def stream_changes(spark: SparkSession, d: str, files: int = 20) -> DataFrame:
+    """The change feed followed as a stream of files in order of arrival, so each has late and repeated changes of earlier ones; the result is that of p1_found."""
     t = load(spark, d, "evidence")
-    return feeds.follow_changes(spark, _staged(t), t).read()
+    last = t.agg(F.max("ingest_seq")).first()[0] or 0
+    path = shared_path(spark, "feed")
+    # One job writes all files: ranges of the order of arrival.
+    t.repartitionByRange(files, "ingest_seq").write.parquet(path) if last else t.write.parquet(path)
+    return feeds.follow_changes(spark, path, t, files_per_trigger=2).read()
 
 
 from quillfold.plans.mailops import P1_SQL  # noqa: E402

@@ -42,18 +42,18 @@ def sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> Data
     return s.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def follow_changes(spark: SparkSession, path: str, like: DataFrame, compact_every: int = 8) -> ChangeLog:
-    """Append each micro-batch of an evidence feed as a run of a change log; compact now and then.
+def follow_changes(spark: SparkSession, path: str, like: DataFrame, log_path: str | None = None, files_per_trigger: int = 1, fan: int = 4) -> ChangeLog:
+    """Append each micro-batch of an evidence feed as a run of a change log, which compacts itself by tiers.
 
-    A batch that is replayed after a failure writes changes that are there
-    already, which changes nothing.
+    With ``log_path`` the log and the stream's checkpoint lie together below
+    that folder, so a stopped stream goes on where it was. A batch that is
+    replayed after a failure is known by its number and left alone.
     """
-    log = ChangeLog(spark, ["work_item_id", "attribute"], ["at", "step", "evidence_id"], "kind", "evidence_id")
+    home = log_path or shared_path(spark, "follow")
+    log = ChangeLog(spark, ["work_item_id", "attribute"], ["at", "step", "evidence_id"], "kind", "evidence_id", path=f"{home}/log-{home.rsplit('/', 1)[-1]}", fan=fan)
 
-    def take(df: DataFrame, _: int) -> None:
-        log.append(evidence_changes(df).drop("run"))
-        if len(log.runs) >= compact_every:
-            log.compact()
+    def take(df: DataFrame, number: int) -> None:
+        log.append(evidence_changes(df).drop("run"), batch=number)
 
-    source(spark, path, like).writeStream.foreachBatch(take).option("checkpointLocation", shared_path(spark, "follow")).trigger(availableNow=True).start().awaitTermination()
+    source(spark, path, like, files_per_trigger).writeStream.foreachBatch(take).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return log

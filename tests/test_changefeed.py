@@ -49,19 +49,52 @@ def test_current_claims_equal_replay(spark, seed):
     assert {tuple(r) for r in current_claims(df).collect()} == replay(rows)
 
 
+ARGS = (["work_item_id", "attribute"], ["at", "step", "evidence_id"], "kind", "evidence_id")
+
+
 def test_runs_merge_in_any_order_and_compaction_keeps_tombstones(spark):
     rows = feed(7)
     df = spark.createDataFrame([(*r[:8], "x") for r in rows], SCHEMA)
-    log = ChangeLog(spark, ["work_item_id", "attribute"], ["at", "step", "evidence_id"], "kind", "evidence_id")
+    log = ChangeLog(spark, *ARGS, fan=100)
     parts = df.withColumn("k", F.pmod(F.xxhash64("ingest_seq"), F.lit(3)))
     for k in (2, 0):
         log.append(evidence_changes(parts.filter(F.col("k") == k)).drop("run"))
     log.compact()
     log.append(evidence_changes(parts.filter("k = 1")).drop("run"))
     log.append(evidence_changes(parts.filter("k = 1")).drop("run"))  # delivered again
-    assert {tuple(r) for r in log.read().collect()} == replay(rows)
+    assert len(log.runs) == 3 and {tuple(r) for r in log.read().collect()} == replay(rows)
+    with pytest.raises(ValueError):
+        log.compact(log.runs[:1], drop_tombstones=True)
     log.compact(drop_tombstones=True)
-    assert {tuple(r) for r in log.read().collect()} == replay(rows)
+    assert len(log.runs) == 1 and {tuple(r) for r in log.read().collect()} == replay(rows)
+    assert log.vacuum() == 5 and {tuple(r) for r in log.read().collect()} == replay(rows)
+
+
+def test_merge_on_read_has_no_exchange_and_logs_open_again(spark):
+    rows = feed(8)
+    df = spark.createDataFrame([(*r[:8], "x") for r in rows], SCHEMA)
+    log = ChangeLog(spark, *ARGS, fan=3)
+    for k in range(7):
+        log.append(evidence_changes(df.filter(F.pmod("ingest_seq", F.lit(7)) == k)).drop("run"), batch=k)
+    assert len(log.runs) <= 3  # compacted on the way
+    assert "Exchange" not in log.read()._jdf.queryExecution().executedPlan().toString()
+    assert log.append(evidence_changes(df.filter("ingest_seq % 7 = 6")).drop("run"), batch=6) == []  # a replayed batch
+    spark.sql(f"DROP TABLE `{log.table}`")
+    again = ChangeLog(spark, *ARGS, path=log.path, fan=3)
+    assert again.runs == log.runs and {tuple(r) for r in again.read().collect()} == replay(rows)
+    other = ChangeLog(spark, *ARGS, path=log.path, fan=3)
+    again.append(evidence_changes(df.limit(1)).drop("run"))
+    with pytest.raises(RuntimeError):  # the other writer lost: its version was taken
+        other.append(evidence_changes(df.limit(1)).drop("run"))
+    assert {tuple(r) for r in ChangeLog(spark, *ARGS, path=log.path).read().collect()} == replay(rows)
+
+
+def test_months_become_runs_and_are_compacted(spark):
+    import datetime
+
+    rows = feed(9)
+    df = spark.createDataFrame([(*r[:7], datetime.datetime(2026, 1 + r[0] % 9, 3), "x") for r in rows], SCHEMA)
+    assert {tuple(r) for r in current_claims(df).collect()} == replay(rows)
 
 
 def test_nulls_unreadable_and_empty(spark):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.plans import ledgerq, mailops, mailq, streamq
+from quillfold.plans import ledgerq, mailops, mailq, signalq, streamq
 
-MODULES = (mailops, ledgerq, mailq, streamq)
+MODULES = (mailops, ledgerq, mailq, signalq, streamq)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillfold.functions import identity as ident
 from quillfold.functions import text
-from quillfold.functions.timefns import with_mentions
+from quillfold.functions.jsonfns import canonical_json, hash16
 from quillfold.operators.changefeed import instant
 from quillfold.operators.delivery import unique_emails
 from quillfold.operators.lookalike import lookalikes
@@ -63,16 +63,6 @@ def contains_question_rate(spark, d):
     return load(spark, d, "emails").groupBy("direction").agg(F.count("*").alias("mails"), F.count_if(q).alias("asking"))
 
 
-def gate_variants_study(spark, d):
-    """Mails each variant of the noise gate would keep back."""
-    e = load(spark, d, "emails").select("id", "category", F.coalesce("subject", F.lit("")).alias("subject"), "direction")
-    state = F.col("subject").rlike(text.TRANSACTIONAL)
-    promo, forum, social = (F.coalesce(F.col("category") == f"CATEGORY_{x}", F.lit(False)) for x in ("PROMOTIONS", "FORUMS", "SOCIAL"))
-    rules = {"category": promo | forum | social, "promotions": promo, "lists": forum, "promotions_unless_state": promo & ~state, "all_unless_state": (promo | forum | social) & ~state, "none": F.lit(False)}
-    wide = e.select(*[r.cast("int").alias(k) for k, r in rules.items()])
-    return wide.unpivot([], list(rules), "rule", "gated").groupBy("rule").agg(F.sum("gated").alias("gated"), F.count("*").alias("mails"))
-
-
 def participant_roles(spark, d):
     p = load(spark, d, "email_participants")
     return p.groupBy("email_id").agg(F.count_if(F.expr("part_role = 'to'")).alias("n_to"), F.count_if(F.expr("part_role = 'cc'")).alias("n_cc"), F.bool_or((F.col("part_role") == "to") & F.col("is_user")).alias("user_in_to"), F.bool_or((F.col("part_role") == "cc") & F.col("is_user")).alias("user_in_cc"))
@@ -113,7 +103,8 @@ def person_anchors(spark, d):
     i = load(spark, d, "person_identities").withColumn("name", F.lower(F.trim("observed_name"))).filter("name != '' and address is not null")
     w = Window.partitionBy("user_id", "name").orderBy(F.col("message_count").desc(), F.col("address"))
     a = i.withColumn("anchor", F.first("address").over(w))
-    return a.select("user_id", "address", "anchor", F.when(F.col("address") == F.col("anchor"), "anchor").when(ident.may_merge(F.col("anchor"), F.col("address")), "merged").otherwise("split").alias("outcome"))
+    a = ident.with_relation(a.select("user_id", "address", "anchor"), ident.domain_of(F.col("anchor")), ident.domain_of(F.col("address")))
+    return a.select("user_id", "address", "anchor", F.when(F.col("address") == F.col("anchor"), "anchor").when(ident.may_merge(F.col("relation")), "merged").otherwise("split").alias("outcome"))
 
 
 def search_mail(spark, d, query: str = "the spare budget for Ravelin", limit: int = 15):
@@ -189,13 +180,6 @@ def tag_coverage(spark, d):
     return want.join(have, ["user_id", "category"], "left").select("user_id", "category", F.coalesce("n", F.lit(0)).alias("n")).filter("n < 5")
 
 
-def date_mention_kinds(spark, d):
-    """Dates mentioned in new text, by kind; the Arrow stage of the offsets."""
-    e = load(spark, d, "emails").select("id", "body_text_novel", F.to_date(F.substring("provider_ts", 1, 10)).alias("day"))
-    m = with_mentions(e, "body_text_novel", "day").select("id", F.explode("mentions").alias("m"))
-    return m.groupBy(F.col("m.kind").alias("kind")).agg(F.count("*").alias("n"), F.count("m.resolved").alias("resolved"))
-
-
 def rate_limit_hourly(spark, d):
     e = load(spark, d, "events").select("event_id", "user_id", "ts")
     return rate_limited(e, "user_id", "ts", "hour", 2, "event_id").groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if("accepted").alias("accepted"))
@@ -214,8 +198,9 @@ def resume_anti_join(spark, d):
 
 
 def canonical_json_hash(spark, d):
-    e = load(spark, d, "events")
-    return e.select("event_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"), "props"), 256).substr(1, 16).alias("hash16"))
+    """Events as JSON objects with sorted keys and no blanks, and their hashes."""
+    e = load(spark, d, "events").withColumn("text", canonical_json({"user_id": F.col("user_id"), "event_type": F.col("event_type"), "event_id": F.col("event_id"), "props": F.col("props")}))
+    return e.select("event_id", "text", hash16(F.col("text")).alias("hash16"))
 
 
 def urlsafe_ids(spark, d):
@@ -240,13 +225,13 @@ def rank_spearman(spark, d):
 
 
 def title_jaccard(spark, d):
-    """Pairs of neighbouring claims of a thread whose titles agree to 0.6."""
+    """Pairs of neighbouring claims of a thread whose titles agree to 0.2."""
     from quillfold.operators.ledger import claims
 
-    c = claims(load(spark, d, "evidence"), load(spark, d, "emails")).filter("thread_id is not null")
+    c = claims(load(spark, d, "evidence"), load(spark, d, "emails"), load(spark, d, "email_participants")).filter("thread_id is not null")
     w = Window.partitionBy("thread_id").orderBy("at", "id")
     n = c.select("id", F.lead("id").over(w).alias("next_id"), "words", F.lead("words").over(w).alias("next_words")).filter("next_id is not null")
-    return n.withColumn("agree", F.round(text.jaccard(F.col("words"), F.col("next_words")), 6)).filter("agree >= 0.6").select("id", "next_id", "agree")
+    return n.withColumn("agree", F.round(text.jaccard(F.col("words"), F.col("next_words")), 6)).filter("agree >= 0.2").select("id", "next_id", "agree")
 
 
 _REG = "CASE WHEN len(string_split({0}, '.')) < 2 THEN {0} ELSE array_to_string(string_split({0}, '.')[-2:], '.') END"
@@ -254,9 +239,6 @@ _DOM = "lower(trim(regexp_replace(address, '^.*@', '')))"
 _RELATED = """CASE WHEN a.domain = b.domain THEN 'same'
   WHEN a.s <> b.s AND least(length(a.s), length(b.s)) >= 4 AND list_contains(regexp_split_to_array(CASE WHEN length(a.s) >= length(b.s) THEN a.s ELSE b.s END, '[-_.]+'), CASE WHEN length(a.s) >= length(b.s) THEN b.s ELSE a.s END) THEN 'embedded_brand'
   WHEN a.s <> b.s AND least(length(a.s), length(b.s)) >= 6 AND levenshtein(a.s, b.s) <= 2 THEN 'typosquat' WHEN a.s = b.s THEN 'sibling_tld' ELSE 'unrelated' END"""
-_CAT = "coalesce(category, '') IN "
-_STATE = "regexp_matches(coalesce(subject, ''), '" + text.TRANSACTIONAL + "')"
-_ALL3 = "('CATEGORY_PROMOTIONS', 'CATEGORY_FORUMS', 'CATEGORY_SOCIAL')"
 
 QUERIES = {
     "thread_position_latency": (thread_position_latency, KEPT + "SELECT id, row_number() OVER w AS position, us // 1000000 - lag(us) OVER w // 1000000 AS latency_s FROM m WINDOW w AS (PARTITION BY thread_id ORDER BY us, id)"),
@@ -267,7 +249,6 @@ QUERIES = {
     "word_counts_by_folder": (word_counts_by_folder, "SELECT folder, count(*) AS mails, CAST(sum(w) AS BIGINT) AS words, max(w) AS most_words FROM (SELECT folder, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS w FROM (SELECT folder, trim(regexp_replace(coalesce(body_text_full, ''), '\\s+', ' ', 'g')) AS t FROM emails)) GROUP BY folder"),
     "folder_pivot": (folder_pivot, "SELECT user_id, " + ", ".join(f"count(*) FILTER (folder = '{x}') AS \"{x}\"" for x in ("INBOX", "SENT", "ARCHIVE", "SPAM", "TRASH")) + " FROM emails GROUP BY user_id"),
     "contains_question_rate": (contains_question_rate, "SELECT direction, count(*) AS mails, count(*) FILTER (regexp_matches(concat_ws(chr(10), subject, body_text_novel), '" + text.ASKS + "')) AS asking FROM emails GROUP BY direction"),
-    "gate_variants_study": (gate_variants_study, " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(count(*) FILTER ({c}) AS BIGINT) AS gated, count(*) AS mails FROM emails" for r, c in {"category": _CAT + _ALL3, "promotions": _CAT + "('CATEGORY_PROMOTIONS')", "lists": _CAT + "('CATEGORY_FORUMS')", "promotions_unless_state": _CAT + "('CATEGORY_PROMOTIONS') AND NOT " + _STATE, "all_unless_state": _CAT + _ALL3 + " AND NOT " + _STATE, "none": "false"}.items())),
     "participant_roles": (participant_roles, "SELECT email_id, count(*) FILTER (part_role = 'to') AS n_to, count(*) FILTER (part_role = 'cc') AS n_cc, bool_or(part_role = 'to' AND is_user) AS user_in_to, bool_or(part_role = 'cc' AND is_user) AS user_in_cc FROM email_participants GROUP BY email_id"),
     "participant_blob": (participant_blob, "SELECT email_id, md5(lower(string_agg(concat_ws(' ', raw_name, raw_address), ' ' ORDER BY part_role, part_no))) AS blob_md5 FROM email_participants GROUP BY email_id"),
     "address_rollup": (address_rollup, "SELECT user_id, lower(trim(raw_address)) AS address, count(*) AS seen, arg_min(raw_name, {'a': u, 'b': email_id, 'c': part_role, 'd': part_no}) FILTER (trim(raw_name) <> '') AS first_name, min(u) AS first_at, max(u) AS last_at FROM (SELECT p.*, e.user_id, epoch_us(CAST(e.provider_ts AS TIMESTAMPTZ)) AS u FROM email_participants p JOIN emails e ON e.id = p.email_id) GROUP BY 1, 2"),
@@ -282,7 +263,7 @@ WITH i AS (SELECT *, lower(trim(observed_name)) AS name FROM person_identities W
 w AS (SELECT user_id, address, first_value(address) OVER (PARTITION BY user_id, name ORDER BY message_count DESC, address) AS anchor FROM i),
 x AS (SELECT *, {_REG.format(_DOM)} AS bd, {_REG.format(_DOM.replace('address', 'anchor'))} AS ad FROM w),
 a AS (SELECT x.user_id, x.address, x.anchor, {{'domain': ad, 's': split_part(ad, '.', 1)}} AS a, {{'domain': bd, 's': split_part(bd, '.', 1)}} AS b FROM x)
-SELECT user_id, address, anchor, CASE WHEN address = anchor THEN 'anchor' WHEN ({_RELATED}) NOT IN ('embedded_brand', 'typosquat') THEN 'merged' ELSE 'split' END AS outcome FROM a"""),
+SELECT user_id, address, anchor, CASE WHEN address = anchor THEN 'anchor' WHEN ({_RELATED}) NOT IN ('embedded_brand', 'typosquat', 'sibling_tld') THEN 'merged' ELSE 'split' END AS outcome FROM a"""),
     "search_mail": (search_mail, KEPT + """, b AS (SELECT id, user_id, us, lower(concat_ws(' ', subject, body_text_novel)) AS blob FROM m),
 h AS (SELECT *, contains(blob, 'spare')::INT + contains(blob, 'budget')::INT + contains(blob, 'ravelin')::INT AS n FROM b), t AS (SELECT *, CASE WHEN n = 3 THEN 0 ELSE 1 END AS tier FROM h WHERE n > 0),
 u AS (SELECT *, min(tier) OVER (PARTITION BY user_id) AS best FROM t)
@@ -300,11 +281,10 @@ UNION ALL SELECT 'identity_without_person', count(*) FROM person_identities WHER
     "duplicate_ids": (duplicate_ids, "SELECT md5(text) AS text_md5, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(*) > 1"),
     "duplicate_messages": (duplicate_messages, "SELECT account_id, lower(trim(provider_message_id, E' \\t\\n\\r')) AS message, count(*) AS deliveries, count(DISTINCT batch_id) AS batches FROM emails GROUP BY 1, 2 HAVING count(*) > 1"),
     "tag_coverage": (tag_coverage, "SELECT u.id AS user_id, c AS category, count(e.id) AS n FROM users u CROSS JOIN (SELECT unnest(['CATEGORY_PERSONAL','CATEGORY_SOCIAL','CATEGORY_PROMOTIONS','CATEGORY_UPDATES','CATEGORY_FORUMS']) AS c) LEFT JOIN emails e ON e.user_id = u.id AND e.category = c GROUP BY 1, 2 HAVING count(e.id) < 5"),
-    "date_mention_kinds": (date_mention_kinds, None),
     "rate_limit_hourly": (rate_limit_hourly, "SELECT user_id, count(*) AS requests, count(*) FILTER (n <= 2) AS accepted FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) GROUP BY user_id"),
     "running_budget": (running_budget, "SELECT o_custkey, count(*) AS within, round(max(s), 2) AS spent FROM (SELECT o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM orders) WHERE s <= 1000000.0 GROUP BY 1"),
     "resume_anti_join": (resume_anti_join, "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"),
-    "canonical_json_hash": (canonical_json_hash, "SELECT event_id, substr(sha256(concat_ws('|', event_id::VARCHAR, event_type, user_id::VARCHAR, props)), 1, 16) AS hash16 FROM events"),
+    "canonical_json_hash": (canonical_json_hash, "SELECT event_id, text, substr(sha256(text), 1, 16) AS hash16 FROM (SELECT event_id, CAST(json_object('event_id', event_id, 'event_type', event_type, 'props', props, 'user_id', user_id) AS VARCHAR) AS text FROM events)"),
     "urlsafe_ids": (urlsafe_ids, "SELECT doc_id, rtrim(replace(replace(base64(encode(md5(text))), '+', '-'), '/', '_'), '=') AS b64 FROM documents WHERE text IS NOT NULL AND text <> ''"),
     "recall_rollup": (recall_rollup, "SELECT coalesce(user_id, 'all') AS user_id, count(*) AS mails, count(*) FILTER (h) AS hits, round(count(*) FILTER (h) / count(*), 6) AS recall FROM (SELECT user_id, id IN (SELECT source_email_id FROM evidence WHERE source_email_id IS NOT NULL) AS h FROM emails) GROUP BY ROLLUP (user_id)"),
     "rank_spearman": (rank_spearman, "SELECT user_id, count(*) AS threads, round(corr(a, b), 5) AS rho FROM (SELECT t.user_id, rank() OVER (PARTITION BY t.user_id ORDER BY message_count) AS a, rank() OVER (PARTITION BY t.user_id ORDER BY coalesce(c, 0)) AS b FROM threads t LEFT JOIN (SELECT thread_id, count(DISTINCT id) AS c FROM evidence GROUP BY 1) e ON e.thread_id = t.id) GROUP BY user_id"),
@@ -315,7 +295,7 @@ def _title_sql() -> str:
     from quillfold.plans.ledgerq import CLAIMS
 
     return CLAIMS + """, n AS (SELECT id, lead(id) OVER w AS next_id, string_split(k, ' ') AS a, string_split(lead(k) OVER w, ' ') AS b, k, lead(k) OVER w AS nk FROM claims WHERE thread_id IS NOT NULL WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id)),
-j AS (SELECT *, CASE WHEN k = '' OR nk = '' THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS agree FROM n WHERE next_id IS NOT NULL) SELECT id, next_id, round(agree, 6) AS agree FROM j WHERE round(agree, 6) >= 0.6"""
+j AS (SELECT *, CASE WHEN k = '' OR nk = '' THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS agree FROM n WHERE next_id IS NOT NULL) SELECT id, next_id, round(agree, 6) AS agree FROM j WHERE round(agree, 6) >= 0.2"""
 
 
 QUERIES["title_jaccard"] = (title_jaccard, _title_sql())

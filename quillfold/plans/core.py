@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.plans import ledgerq, mailops, mailq, signalq, streamq
+from quillfold.plans import controlq, identityq, ledgerq, mailops, mailq, scoreq, signalq, streamq, toolq
 
-MODULES = (mailops, ledgerq, mailq, signalq, streamq)
+MODULES = (mailops, ledgerq, mailq, signalq, identityq, toolq, scoreq, controlq, streamq)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -192,9 +192,14 @@ def attention_scores(spark: SparkSession, d: str) -> DataFrame:
     return ledger.attention(_items(spark, d), _as_of()).select("item_id", "user_id", "reason", "urgency", "importance", "staleness", "commitment", "score")
 
 
-def ask(spark: SparkSession, d: str, question: str, limit: int = 25, user_id: str | None = None) -> DataFrame:
-    """One of the six questions: the first ``limit`` answers of each mailbox (of one, with ``user_id``), in rank order, with the common columns."""
-    claim = _claims(spark, d)
+def ask(spark: SparkSession, d: str, question: str, limit: int = 25, user_id: str | None = None, claim: DataFrame | None = None) -> DataFrame:
+    """One of the six questions: the first ``limit`` answers of each mailbox (of one, with ``user_id``), in rank order, with the common columns.
+
+    For several questions give ``claim``, the claims found once.
+    """
+    if question not in QUESTIONS:
+        raise ValueError(f"unknown question {question}; there are {', '.join(QUESTIONS)}")
+    claim = _claims(spark, d) if claim is None else claim
     items = ledger.exact_items(claim)
     quiet = F.round((F.unix_micros(_as_of()) - F.unix_micros("last_activity_at")) / F.lit(86_400_000_000.0), 4)
     more: tuple[str, ...] = ()

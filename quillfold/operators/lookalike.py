@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillfold.functions.identity import sld
 
 
-def _without_one(words: Column) -> Column:
+def without_one(words: Column) -> Column:
     """All strings that one deletion makes of each of the words."""
     drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, 1000)))
     return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 0), drop)))
@@ -23,8 +23,8 @@ def _without_one(words: Column) -> Column:
 def lookalikes(domains: DataFrame, group: str, domain: str) -> DataFrame:
     """(group, a, b, relation): ordered pairs of different registrable domains of a group that are related."""
     d = domains.select(group, F.col(domain).alias("domain")).filter("domain is not null").distinct().withColumn("brand", sld(F.col("domain")))
-    one = _without_one(F.array("brand"))
-    edits = F.when(F.length("brand") >= 5, F.array_union(F.array_union(F.array("brand"), one), _without_one(one))).otherwise(F.array().cast("array<string>"))
+    one = without_one(F.array("brand"))
+    edits = F.when(F.length("brand") >= 5, F.array_union(F.array_union(F.array("brand"), one), without_one(one))).otherwise(F.array().cast("array<string>"))
     tokens = F.filter(F.split("brand", "[-_.]+"), lambda t: F.length(t) >= 4)
     keyed = d.select(group, "domain", "brand", F.explode(F.array_distinct(F.concat(F.transform(edits, lambda x: F.concat(F.lit("e"), x)), F.array(F.concat(F.lit("b"), F.col("brand"))), F.transform(tokens, lambda x: F.concat(F.lit("t"), x)), F.array(F.concat(F.lit("t"), F.col("brand")))))).alias("k"))
     pairs = keyed.alias("x").join(keyed.alias("y"), [group, "k"]).filter("x.domain != y.domain").select(group, F.col("x.domain").alias("a"), F.col("x.brand").alias("sa"), F.col("y.domain").alias("b"), F.col("y.brand").alias("sb")).distinct()

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from quillfold.functions.identity import registrable, sld
 from quillfold.llm.neardup import pairs_across
 from quillfold.llm.pii import _FOLD, FIRM, GIVEN
 from quillfold.operators.components import connected_components
+from quillfold.operators.lookalike import without_one
 from quillfold.session import cut
 
 RADIUS = 2
@@ -53,9 +55,21 @@ def fold(s: str) -> str:
     return s.translate(_FOLD).lower()
 
 
-def _given(token: str) -> str | None:
-    """The full given name a token stands for, a slip of one edit in a long one allowed."""
-    if token in _FULL:
+class Givens:
+    """Given names seen in the corpus, as the buckets of their hashes: a fixed number, whatever the corpus."""
+
+    def __init__(self, buckets: np.ndarray | None = None):
+        self.bits = np.zeros(1 << 22, bool)
+        if buckets is not None:
+            self.bits[buckets] = True
+
+    def __contains__(self, token: str) -> bool:
+        return len(token) >= 3 and bool(self.bits[zlib.crc32(token.encode()) & ((1 << 22) - 1)])
+
+
+def _given(token: str, more: Givens | tuple = ()) -> str | None:
+    """The full given name a token stands for."""
+    if token in _FULL or token in more:
         return SHORT.get(token, token)
     return None
 
@@ -70,9 +84,9 @@ for _name in _FULL:
         _NEAR_GIVEN.setdefault(_v, set()).add(_name)
 
 
-def _given_like(token: str) -> str | None:
+def _given_like(token: str, more: Givens | tuple = ()) -> str | None:
     """The one given name of four letters or more that a token spells with at most one slip (an edit or a swap)."""
-    g = _given(token)
+    g = _given(token, more)
     if g or len(token) < 4:
         return g
     # Two words with a slip between them have a variant in common after at most one deletion each.
@@ -92,7 +106,7 @@ def _swapped(a: str, b: str) -> bool:
     return len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
 
 
-def parse_name(raw: str | None) -> tuple[str | None, str | None, str] | None:
+def parse_name(raw: str | None, more: Givens | tuple = ()) -> tuple[str | None, str | None, str] | None:
     """(full given name, initial, family name) of a typed name, or None."""
     if not raw:
         return None
@@ -102,13 +116,13 @@ def parse_name(raw: str | None) -> tuple[str | None, str | None, str] | None:
     if not tokens:
         return None
     if len(tokens) == 1:
-        return _joined(tokens[0])
+        return _joined(tokens[0], more)
     if comma and len(comma.group(1)) > 1:
         family, rest = comma.group(1), [t for t in tokens if t != comma.group(1)] or tokens[1:]
         first = next((t for t in rest if len(t) > 1), rest[0] if rest else "")
-        if _given(family) and not _given(first):
+        if _given(family, more) and not _given(first, more):
             family, first = first, family
-        return (None, first[:1] or None, family) if len(first) <= 1 else (_given_like(first) or first, first[0], family)
+        return (None, first[:1] or None, family) if len(first) <= 1 else (_given_like(first, more) or first, first[0], family)
     long = [t for t in tokens if len(t) > 1]
     single = [t for t in tokens if len(t) == 1]
     if not long:
@@ -117,26 +131,26 @@ def parse_name(raw: str | None) -> tuple[str | None, str | None, str] | None:
         return (None, single[0], long[0]) if single else None
     a, b = long[0], long[-1]
     for x, y in ((a, b), (b, a)):
-        if _given(x) and not _given(y):
-            g = _given(x)
+        if _given(x, more) and not _given(y, more):
+            g = _given(x, more)
             return g, g[0], y
     for x, y in ((a, b), (b, a)):
-        if (g := _given_like(x)) and not _given_like(y):
+        if (g := _given_like(x, more)) and not _given_like(y, more):
             return g, g[0], y
-    g = _given(a) or a
+    g = _given(a, more) or a
     return g, g[0], b
 
 
-def _joined(token: str) -> tuple[str | None, str | None, str] | None:
+def _joined(token: str, more: Givens | tuple = ()) -> tuple[str | None, str | None, str] | None:
     """A name written as one word: given and family, or initial and family."""
     for k in range(min(len(token) - 4, 12), 1, -1):
-        if g := _given(token[:k]):
+        if g := _given(token[:k], more):
             if len(token) - k >= 4 and k >= 3:
                 return g, g[0], token[k:]
     return (None, token[0], token[1:]) if len(token) >= 6 else None
 
 
-def parse_local(local: str, families: frozenset[str] = frozenset()) -> tuple[str | None, str | None, str] | None:
+def parse_local(local: str, more: Givens | tuple = ()) -> tuple[str | None, str | None, str] | None:
     """A name from the local part of an address; None where it shows none."""
     s = re.sub(r"\+.*$", "", fold(local))
     parts = [re.sub(r"\d+", "", p) for p in re.split(r"[._-]+", s)]
@@ -144,17 +158,17 @@ def parse_local(local: str, families: frozenset[str] = frozenset()) -> tuple[str
     if re.search(r"\d", s) and len(parts) == 1:
         return None  # a first name or initials with a number
     if len(parts) == 1:
-        return _joined(parts[0])
+        return _joined(parts[0], more)
     if len(parts) == 2:
         a, b = parts
         if len(a) == 1 and len(b) > 3:
             return None, a, b
         if len(b) == 1 and len(a) > 3:
             return None, b, a
-        if _given(a) and len(b) > 3:
-            return _given(a), _given(a)[0], b
-        if _given(b) and len(a) > 3:
-            return _given(b), _given(b)[0], a
+        if _given(a, more) and len(b) > 3:
+            return _given(a, more), _given(a, more)[0], b
+        if _given(b, more) and len(a) > 3:
+            return _given(b, more), _given(b, more)[0], a
     return None
 
 
@@ -170,14 +184,55 @@ def _firm_words(raw: str | None, local: str) -> tuple[bool, str]:
 _FORM = "id string, address string, brand string, k long, firm boolean, word string, given string, initial string, family string, own_given string, own_initial string, own_family string"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow stage: the two long words of a name, and whether each stands where a given name does."""
+    for batch in batches:
+        row, token, first = [], [], []
+        for r, raw in enumerate(batch.column("name").to_pylist()):
+            s = _PAREN.sub(" ", fold(raw or ""))
+            long = [t for t in re.findall(r"[a-z][a-z'-]+", s) if t.strip("'-") not in TITLES]
+            if len(long) == 2 and long[1] not in _FIRMS:
+                row += [r, r]
+                token += long
+                first += [False, True] if "," in s else [True, False]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int32())), pa.array(token, pa.string()), pa.array(first, pa.bool_())], names=["id", "token", "first"])
+
+
+def given_names(names: DataFrame, least: int = 3) -> DataFrame:
+    """(token, canonical): words that stand as given names, with the name each one is or misspells; null where it is neither.
+
+    A name stands as one for at least ``least`` people rows, and three times as
+    often as not. A word with a slip of one such name that is five times as
+    frequent is that name misspelt. The pairs meet by what is left of them after
+    a deletion.
+    """
+    seen = names.mapInArrow(_tokens, "id string, token string, first boolean").distinct().groupBy("token").agg(F.count_if("first").alias("n"), F.count_if(~F.col("first")).alias("m"))
+    seen = cut(seen.filter("n > 0").withColumn("often", (F.col("n") >= least) & (F.col("n") >= 3 * F.col("m"))), "tokens")
+    keyed = seen.filter("length(token) >= 4 or often").select("token", "n", "often", F.explode(F.array_union(F.array("token"), without_one(F.array("token")))).alias("left"))
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    a, b = keyed.alias("a"), keyed.filter("often").alias("b")
+    slip = (F.levenshtein("a.token", "b.token") == 1) | (letters(F.col("a.token")) == letters(F.col("b.token")))
+    meant = a.join(b, "left").filter("a.token != b.token and b.n >= 5 * a.n").filter(slip).groupBy("a.token").agg(F.min("b.token").alias("x"), F.max("b.token").alias("y"))
+    known = seen.join(meant, "token", "left")
+    return known.select("token", F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("x").isNull() & F.col("often"), F.col("token")).alias("canonical"))
+
+
+def _parse(shared):
     """Arrow stage: the forms that a spelling and an address show."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _parsed(batches, Givens(shared.value))
+
+    return run
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], more: Givens) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for raw, address in zip(batch.column("name").to_pylist(), batch.column("address").to_pylist()):
             local = (address or "").strip().lower().partition("@")[0]
-            form = parse_name(raw)
-            out.append((*_firm_words(raw, local), *(form if form and form[2] not in _FIRMS else (None,) * 3), *(parse_local(local) or (None,) * 3)))
+            form = parse_name(raw, more)
+            out.append((*_firm_words(raw, local), *(form if form and form[2] not in _FIRMS else (None,) * 3), *(parse_local(local, more) or (None,) * 3)))
         cols = list(zip(*out)) or [()] * 8
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "address", "brand", "k")), pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.string()) for c in cols[1:])], names=[x.split()[0] for x in _FORM.split(", ")])
 
@@ -200,9 +255,13 @@ def described_people(people: DataFrame, identities: DataFrame, participants: Dat
     names = seen.unionByName(typed).unionByName(told).select("id", clean(F.col("name")).alias("name"), "k").filter("name is not null and id is not null").groupBy("id", "name").agg(F.sum("k").alias("k"))
     where = identities.filter("address is not null").groupBy(F.col("person_id").alias("id")).agg(F.max_by("address", F.struct("message_count", "address")).alias("address"), F.sum("message_count").alias("n"))
     rows = cut(people.filter("id is not null and user_id is not null").select("id", "user_id").distinct().join(where, "id", "left").withColumn("domain", registrable(F.substring_index("address", "@", -1))), "rows")
+    names = cut(names, "names")
+    known = cut(given_names(names).filter("canonical is not null"), "givens")
+    # At most one number for each of the 2^22 buckets.
+    buckets = known.filter("token = canonical").select(F.crc32("token").bitwiseAND(F.lit((1 << 22) - 1)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()
     spelled = rows.select("id", "address", F.regexp_replace(sld(F.col("domain")), "-", "").alias("brand")).distinct().join(names, "id", "left").select("id", "address", "brand", "name", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
     # A spelling is parsed once; the parsed forms are read for the votes and for the rows.
-    parsed = cut(spelled.mapInArrow(_parse, _FORM), "spellings")
+    parsed = cut(spelled.mapInArrow(_parse(rows.sparkSession.sparkContext.broadcast(buckets)), _FORM), "spellings")
     near = F.col("family").isNotNull() & (F.levenshtein("family", "own_family", RADIUS) >= 0) & (F.col("initial").isNull() | (F.col("initial") == F.col("own_initial")))
     firm = F.col("firm") | ((F.length("brand") >= 6) & F.col("own_family").isNull() & (F.length("word") > 0) & (F.levenshtein("word", "brand", 2) >= 0))
     own = parsed.groupBy("id").agg(
@@ -215,16 +274,18 @@ def described_people(people: DataFrame, identities: DataFrame, participants: Dat
     votes = cut(votes, "votes")
     best = votes.groupBy("id", "family").agg(F.sum("k").alias("k")).groupBy("id").agg(F.min_by("family", F.struct(-F.col("k"), "family")).alias("best"))
     close = votes.join(best, "id").filter(F.levenshtein("family", "best", RADIUS) >= 0)
-    weight = F.when(F.col("given").isin(*sorted(_FULL)), 3).otherwise(1)
-    each = close.select("id", "best", F.explode(F.array(F.struct(F.lit("g").alias("what"), F.col("given").alias("value"), (F.col("k") * weight).alias("k")), F.struct(F.lit("i").alias("what"), F.col("initial").alias("value"), F.col("k").alias("k")))).alias("v")).select("id", "best", "v.*")
+    listed = F.coalesce(F.col("given").isin(*sorted(_FULL)), F.lit(False))
+    close = close.join(known.withColumnRenamed("token", "given"), "given", "left").withColumns({"known": listed | F.col("canonical").isNotNull(), "given": F.when(listed, F.col("given")).otherwise(F.coalesce("canonical", "given"))})
+    weight = F.when(F.col("known"), 3).otherwise(1)
+    each = close.select("id", "best", F.explode(F.array(F.struct(F.lit("g").alias("what"), F.struct("given", "known").alias("value"), (F.col("k") * weight).alias("k")), F.struct(F.lit("i").alias("what"), F.struct(F.col("initial").alias("given"), F.lit(False).alias("known")).alias("value"), F.col("k").alias("k")))).alias("v")).select("id", "best", "v.*")
     top = each.groupBy("id", "best", "what", "value").agg(F.sum("k").alias("k"))
-    top = top.groupBy("id").agg(F.first("best").alias("family"), *[F.min_by("value", F.when((F.col("what") == w) & F.col("value").isNotNull(), F.struct(-F.col("k"), "value"))).alias(n) for w, n in (("g", "given"), ("i", "first"))])
+    top = top.groupBy("id").agg(F.first("best").alias("family"), *[F.min_by("value", F.when((F.col("what") == w) & F.col("value.given").isNotNull(), F.struct(-F.col("k"), "value"))).alias(n) for w, n in (("g", "given"), ("i", "first"))])
     found = rows.join(own.select("id", "org"), "id", "left").join(top, "id", "left")
     kind = F.when(F.coalesce("org", F.lit(False)), "org").when(F.col("family").isNotNull(), "person").otherwise("unknown")
     person = kind == "person"
     return found.select(
         "id", "user_id", "domain", F.coalesce("n", F.lit(0)).cast("long").alias("n"), kind.alias("kind"),
-        F.when(person, F.col("given")).alias("given"), F.when(person, F.coalesce(F.substring("given", 1, 1), "first")).alias("initial"), F.when(person, F.col("family")).alias("family"),
+        F.when(person, F.col("given.given")).alias("given"), F.when(person, F.coalesce(F.substring("given.given", 1, 1), F.col("first.given"))).alias("initial"), F.when(person, F.col("family")).alias("family"), (person & F.coalesce("given.known", F.lit(False))).alias("known"),
     )
 
 
@@ -375,11 +436,11 @@ def parties(rows: DataFrame) -> DataFrame:
     person = rows.filter("kind = 'person'")
     # People at imitating domains are parties of their own: their domain is part of the mailbox they are compared in.
     person = person.withColumn("grp", F.when(F.col("fake"), F.concat_ws("|", "user_id", "domain")).otherwise(F.col("user_id")))
-    forms = cut(person.groupBy("grp", "user_id", "given", "initial", "family").agg(F.min("id").alias("form")), "forms")
+    forms = cut(person.groupBy("grp", "user_id", "given", "initial", "family").agg(F.min("id").alias("form"), F.bool_or("known").alias("known")), "forms")
     near = near.filter("what = 'f'").drop("what").unionByName(forms.select("user_id", F.col("family").alias("x"), F.col("family").alias("y")).distinct())
     # Family names of two forms of one group that are near each other, each way.
-    left = forms.select("grp", "user_id", F.col("family").alias("x"), F.struct("form", "given", "initial").alias("p"))
-    right = forms.select("grp", F.col("family").alias("y"), F.struct("form", "given", "initial").alias("q"))
+    left = forms.select("grp", "user_id", F.col("family").alias("x"), F.struct("form", "given", "initial", "known").alias("p"))
+    right = forms.select("grp", F.col("family").alias("y"), F.struct("form", "given", "initial", "known").alias("q"))
     met = cut(left.join(near, ["user_id", "x"]).select("grp", "y", "p").join(right, ["grp", "y"]).filter("p.form != q.form").select("p", "q"), "met")
     # Initials: resolved to the one full given name that a near family name has, that of the own domain first. One name
     # is one whose smallest and largest are equal, so no list of names is kept.
@@ -389,13 +450,13 @@ def parties(rows: DataFrame) -> DataFrame:
     one = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
     named = fits.select("form", "given", F.lit(False).alias("home")).unionByName(homely).groupBy("form").agg(one(F.col("given")).alias("all"), one(F.when(F.col("home"), F.col("given"))).alias("near"))
     settled = named.select("form", F.coalesce("all", "near", F.lit("?")).alias("resolved"))
-    met = met.filter("p.form < q.form").select(F.col("p.form").alias("a"), F.col("p.given").alias("g1"), F.col("p.initial").alias("i1"), F.col("q.form").alias("b"), F.col("q.given").alias("g2"), F.col("q.initial").alias("i2"))
+    met = met.filter("p.form < q.form").select(F.col("p.form").alias("a"), F.col("p.given").alias("g1"), F.col("p.initial").alias("i1"), F.col("p.known").alias("k1"), F.col("q.form").alias("b"), F.col("q.given").alias("g2"), F.col("q.initial").alias("i2"), F.col("q.known").alias("k2"))
     settled = cut(settled, "settled")
     for side in ("1", "2"):
         key = "a" if side == "1" else "b"
         met = met.join(settled.select(F.col("form").alias(key), F.col("resolved").alias("r" + side)), key, "left").withColumn("g" + side, F.coalesce("g" + side, "r" + side))
-    both_known = F.col("g1").isin(*sorted(_FULL)) & F.col("g2").isin(*sorted(_FULL))
-    slip = ~both_known & (F.levenshtein("g1", "g2", 2) >= 0) & (F.least(F.length("g1"), F.length("g2")) >= 4)
+    # Two names that both stand on their own aren't slips of each other.
+    slip = ~(F.col("k1") & F.col("k2")) & (F.levenshtein("g1", "g2", 2) >= 0) & (F.least(F.length("g1"), F.length("g2")) >= 4)
     agree = F.when(F.col("g1").isNotNull() & F.col("g2").isNotNull(), (F.col("g1") != "?") & ((F.col("g1") == F.col("g2")) | slip)).when(F.col("g1").isNull() & F.col("g2").isNull(), F.col("i1") == F.col("i2")).otherwise(F.lit(False))
     roots = connected_components(met.filter(agree).select("a", "b"))
     of = forms.join(roots, F.col("form") == F.col("node"), "left").select("grp", "given", "initial", "family", F.coalesce("root", "form").alias("root"))

@@ -6,35 +6,48 @@ runs of spelled digits become digits, at and dot in words or brackets become @
 and a full stop. Every output character remembers the source offset it came
 from, so each span found in the copy is mapped back to the exact characters of
 the source.
+
+Names have no shape of their own. A census over the whole corpus counts how each
+word is used: in which case, after a given name, after another capitalised word,
+alone in a salutation. Family names are words that stand capitalised after given
+names and hardly ever elsewhere; given names beyond a list of common ones are
+words that stand in salutations and inside sentences with a capital. The census
+has a fixed number of buckets, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfold.session import cut
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-# Given names with their short forms, letters without accents.
+# Common given names of several languages with short forms, letters without accents.
 GIVEN = """
-alexander amara anais anthony benjamin chidi christopher dana daniel deborah edward elizabeth francoise frederick gregory hana hugo ines ingrid jennifer
-jessica joseph jose jurgen juergen katherine kwame lars leila malgorzata margaret marta mei michael nicholas noor olga oskar patricia petra piers priya
-ravi rebecca robert samuel soren soeren stephen susan tariq theodore thomas timothy victoria william yusuf zoe
-alex sandy ben chris dan danny debbie deb ed eddie ted liz beth lizzie fred freddie greg jen jenny jess joe kate kathy kit meg maggie mike mick nick nicky
-pat patty becky bob rob sam steve sue susie theo tom tim vicky will bill tony gosia
-anna maria peter paul john james george henry emma laura sarah julia martin andreas stefan markus christian claudia sabine monika pierre jean marie sophie
-carlos juan pedro luis elena carmen ahmed fatima ali omar wei chen yuki kenji david mark andrew emily olivia lucas felix max leon mia
+aaron adam adrian ahmed alan albert alex alexander ali alice amanda amelia amy ana andrea andreas andrew angela anita anna anne anthony antonio arthur barbara ben benjamin bernd bill bob brian bruno carl carlos carmen caroline catherine charles charlotte chen chris christian
+christina christine christopher claire claudia daniel david deborah dennis diana diego dirk edward elena eleanor elizabeth emily emma eric erik eva fatima felix francis frank franz fred frederick gabriel george gerald giulia grace greg gregory guido hans harry heike heinrich helen
+henri henry hugo ian ines ingrid isabel jack jacob james jan jane janet jean jennifer jessica jim joan joe john jonathan jorge jose joseph juan juergen julia julie jurgen karen karl kate katherine kathy kenneth kevin klaus laura leon linda lisa louis lucas lucy luis lukas manuel marc marcus
+margaret maria marie mark markus marta martin mary matthew max mei mia michael michelle miguel mohammed monika nadia nancy natalie nicholas nick nicole nina olga oliver olivia omar oscar oskar pablo patricia patrick paul pedro peter petra philip pierre rachel ralf rebecca
+richard rita robert roberto roger samuel sandra sara sarah sebastian sergio simon sofia sophie stefan stephen steve steven susan sven theodore theresa thomas tim timothy tom tony ursula uwe victor victoria walter wei werner william wolfgang yuki zoe
 """.split()
-# Endings of family names.
-ENDINGS = "rath nard rell croft ford mere well stein dale wick gate bury more den vik ham ley ton by sk son sen mann berg haus feld bach land wood field worth smith".split()
-# Words that follow a capitalised word in the name of a firm or place.
-FIRM = "partners foods energy health goods labs press textiles robotics analytics logistics freight outfitters studios instruments consulting llp ltd inc gmbh ag limited group team bid pilot launch account audit review refit retreat migration handover programme rollout agenda keynote".split()
+# Words of an organisation's name that show its kind.
+FIRM = "ag analytics associates bank co company consulting corp energy foods foundation freight gmbh group health holding inc institute instruments kg labs limited llc llp logistics ltd outfitters partners press robotics sa society solutions studios systems team technologies textiles university".split()
+# Words of two languages that may follow a given name with a capital, or stand alone in a line as one.
+NOT_NAMES = frozenset(
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar marz mai juni juli oktober dezember "
+    "and the that this with from for not but our your their please thanks thank regards cheers best dear hello hi hey hallo liebe lieber sehr geehrte guten morgen tag good morning afternoon evening all team everyone und der die das mit von bitte danke gruss grusse yes no ok".split()
+)
 
 _FOLD = {}
 for _c in range(0xA1, 0x250):
@@ -142,15 +155,12 @@ _FR = re.compile(r"(?<![\w./#-])(?:\d{1,4}(?: ?(?:bis|ter))?,?\s)?(?:rue|avenue|
 _ES = re.compile(r"(?<![\w./#-])(?:calle|c/|avenida|avda\.?|plaza|paseo)\s(?:de la |del |de los |de )?[A-Z][\w'-]+(?: [A-Z][\w'-]+)*,?\s(?:n\.?º?\s?)?\d{1,4}\b(?:,\s\d{5} [\w'-]+)?", re.I)
 _FR_NO = re.compile(r"\d")
 
-_G = "|".join(sorted(set(GIVEN), key=len, reverse=True))
-_E = "|".join(ENDINGS)
 _SEP = r"(?:[ \t]+|[ \t]*\r?\n[ \t>|]*)"
 _FIRMS = "|".join(FIRM)
 _AFTER = re.compile(rf"{_SEP}(?:[A-Z]\.?{_SEP}(?:[A-Z]\.{_SEP})?)?(?P<f>(?:(?:von|van|de|da|di|le|la|del|dos)\s)?[A-Z][\w'-]{{2,}})(?![\w@])(?![ \t]+(?:{_FIRMS})\b)", re.I)
-_AFTER_INITIAL = re.compile(rf"(?:\.{_SEP}?|{_SEP})(?:[A-Z]\.?{_SEP}?)?(?P<f>[A-Z][a-zA-Z'-]+(?:{_E}|{_E.upper()}))(?![\w@])(?![ \t]+(?:(?i:{_FIRMS}))\b)")
+_AFTER_INITIAL = re.compile(rf"(?:\.{_SEP}?|{_SEP})(?:[A-Z]\.?{_SEP}?)?(?P<f>[A-Z][\w'-]{{3,}})(?![\w@])(?![ \t]+(?:(?i:{_FIRMS}))\b)")
 _BETWEEN = re.compile(rf",?{_SEP}")
 _TOKEN = re.compile(r"[^\W\d_]+")
-_ENDS = re.compile(rf"(?:{_E})$", re.I)
 # Words without which a pattern can't match.
 _PERSONAL_WORDS = frozenset("ssn social tin t tax taxpayer steuernummer steuer steuerid steueridentifikationsnummer steuernr nino nin ni insurance passport reisepass reisepassnummer reisepassnr passnummer passnr licence license fuhrerschein fuhrerscheinnummer ausweis ausweisnummer personalausweis personalausweisnummer sozialversicherungsnummer rentenversicherungsnummer krankenversicherungsnummer versicherungsnummer sozialversicherung id identity permis passeport numero pasaporte nif nie dni".split())
 _FR_WORDS = frozenset("rue avenue av boulevard bd chemin place allee quai impasse cours route".split())
@@ -161,7 +171,145 @@ _DE_STARTS = re.compile(r"\b(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Unter
 _PLACE_BEFORE = re.compile(r"\b(?:in|to|at|from|near|reached|nach|aus|über|zu|à|en|au)\s+$", re.I)
 
 
-def spans(source: str | None) -> list[tuple[str, int, int]]:
+# --- the census of words ---------------------------------------------------------
+
+_PIECES = re.compile(r"[^\W\d_]+|\S|\n")
+_ADDRESS = re.compile(r"[^\s<>()]*@[^\s<>()]*")
+_ALONE = re.compile(r"^[ \t>|]*(?:(?:hi|hello|hey|dear|hallo|lieber?|moin|bonjour|hola|good morning|good afternoon|guten (?:morgen|tag)|.{0,24}(?:regards|thanks|wishes|cheers|grusse|gruss|dank)),?[ \t]+)?([^\W\d_]{2,20})[ \t]*,?[ \t]*\r?$", re.I | re.M)
+_GIVEN_SET = frozenset(GIVEN)
+_FIRM_SET = frozenset(FIRM)
+BUCKETS = 1 << 20
+#: What is counted of a word: in lower case, capitalised, capitalised after a lower-case word, alone in a line; after a
+#: given name capitalised as it is, in lower case after a capitalised one, both in lower case; after an initial, before a
+#: given name, after another capitalised word.
+LOW, CAP, MID, ALONE, AFTER, VERB, ALIKE, INITIAL, BEFORE, PAIR = KINDS_OF_USE = range(10)
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def _pieces(text: str) -> tuple[str, list[str]]:
+    t = text if text.isascii() else text.translate(_FOLD)
+    t = _ADDRESS.sub(" ", t) if "@" in t else t  # parts of addresses are no words
+    return t, _PIECES.findall(t)
+
+
+def _table(seen: dict[int, Counter[str]]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for kind, words in seen.items():
+        for w, n in words.items():
+            if w[0].isalpha():
+                out.setdefault(w.lower(), [0] * len(KINDS_OF_USE))[CAP if kind == LOW and w[0].isupper() else kind] += n
+    return out
+
+
+def count_usage(texts: Iterable[str | None]) -> dict[str, list[int]]:
+    """How each word (folded, in lower case) is written: its case, inside sentences, alone in a line."""
+    seen = {k: Counter() for k in (LOW, MID, ALONE)}
+    for text in texts:
+        if text:
+            t, p = _pieces(text)
+            seen[LOW].update(p)
+            seen[MID].update([b for a, b in zip(p, p[1:]) if b[0].isupper() and a.islower()])
+            seen[ALONE].update(_ALONE.findall(t))
+    return _table(seen)
+
+
+def count_context(texts: Iterable[str | None], census: Census) -> dict[str, list[int]]:
+    """What each word follows: a given name, with or without an initial between, or another capitalised word."""
+    seen = {k: Counter() for k in (AFTER, VERB, ALIKE, INITIAL, BEFORE, PAIR)}
+    for text in texts:
+        if not text:
+            continue
+        _, p = _pieces(text)
+        given = {w for w in set(p) if len(w) > 2 and census.word(w.lower())[0]}
+        for i, a in enumerate(p):
+            if a in given:
+                upper, rest = a[0].isupper(), p[i + 1 : i + 4]
+                if len(rest) == 3 and rest[1] == "." and len(rest[0]) == 1 and rest[2][0].isupper():
+                    seen[AFTER][rest[2]] += 1
+                elif rest and rest[0][0].isalpha() and (upper or rest[0][0].islower()):
+                    seen[(AFTER if rest[0][0].isupper() else VERB) if upper else ALIKE][rest[0]] += 1
+                comma = i > 1 and p[i - 1] == ","
+                j = i - 2 if comma else i - 1
+                # Without a comma a capital at the start of a sentence says nothing.
+                if upper and j >= 0 and p[j][0].isupper() and p[j] not in given and (comma or (j and p[j - 1].islower())):
+                    seen[BEFORE][p[j]] += 1
+            elif len(a) == 1 and a.isupper() and i + 1 < len(p):
+                b = p[i + 2] if p[i + 1] == "." and i + 2 < len(p) else p[i + 1]
+                if b[0].isupper() and len(b) > 3:
+                    seen[INITIAL][b] += 1
+        seen[PAIR].update([b for a, b in zip(p, p[1:]) if b[0].isupper() and a[0].isupper() and len(a) > 1 and a not in given])
+    return _table(seen)
+
+
+class Census:
+    """How the words of a corpus are used: the buckets in use, sorted, and a row of numbers for each; without any it knows common given names only."""
+
+    def __init__(self, used: np.ndarray | None = None, rows: np.ndarray | None = None):
+        self.used, self.rows = used, rows
+        self.known: dict[str, tuple[bool, bool, bool, bool, bool]] = {}
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> Census:
+        """A census of a few texts in memory."""
+        texts = list(texts)
+        usage = cls._summed(count_usage(texts))
+        return usage.plus(cls._summed(count_context(texts, usage)))
+
+    @classmethod
+    def _summed(cls, table: dict[str, list[int]]) -> Census:
+        used, place = np.unique(np.array([bucket(w) for w in table], np.int64), return_inverse=True)
+        rows = np.zeros((len(used), len(KINDS_OF_USE)), np.int64)
+        np.add.at(rows, place, np.array(list(table.values()), np.int64).reshape(len(place), -1))
+        return cls(used, rows)
+
+    def plus(self, other: Census) -> Census:
+        used, place = np.unique(np.concatenate([self.used, other.used]), return_inverse=True)
+        rows = np.zeros((len(used), len(KINDS_OF_USE)), np.int64)
+        np.add.at(rows, place, np.concatenate([self.rows, other.rows]))
+        return Census(used, rows)
+
+    def counts(self, w: str) -> list[int]:
+        b = bucket(w)
+        k = int(np.searchsorted(self.used, b))
+        return self.rows[k].tolist() if k < len(self.used) and self.used[k] == b else [0] * len(KINDS_OF_USE)
+
+    def word(self, w: str) -> tuple[bool, bool, bool, bool, bool]:
+        """(given, surely a family name, possibly one, mostly capitalised, a family name in lower case) for a word in lower case."""
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) > 400_000:
+                self.known.clear()
+            got = self.known[w] = self._judge(w)
+        return got
+
+    def _judge(self, w: str) -> tuple[bool, bool, bool, bool, bool]:
+        listed = w in _GIVEN_SET
+        if w in NOT_NAMES:
+            return False, False, False, False, False
+        if self.used is None:
+            return listed, False, len(w) >= 4 and not listed and w not in _FIRM_SET, False, False
+        low, cap, mid, alone, after, verb, alike, initial, before, pair = self.counts(w)
+        # A word that stands alone in salutations and capitalised inside sentences, but not after given names.
+        given = listed or (len(w) >= 3 and alone >= 2 and mid >= 2 and mid >= 0.1 * cap and low <= 0.25 * cap and after <= 0.2 * (mid + pair))
+        shape = len(w) >= 4 and not given and w not in _FIRM_SET
+        # A good part of its capitalised places are those of a family name, and hardly any that of a verb.
+        named = after + initial + before
+        sure = shape and named >= 1 and named >= 0.3 * cap and named >= 3 * verb and low <= 0.5 * cap + alike
+        maybe = shape and low <= 0.2 * cap + alike and verb <= 0.1 * cap and not (pair > 5 and named < 0.05 * pair) and not (mid > 5 and named < 0.05 * mid)
+        plain = shape and alike >= 1 and alike >= 0.5 * low and verb == 0
+        return given, sure, sure or maybe, cap >= low, sure or plain
+
+
+_NO_CENSUS = Census()
+
+
+# --- detection --------------------------------------------------------------------
+
+
+def spans(source: str | None, census: Census = _NO_CENSUS) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points of the source, sorted, without overlaps."""
     if not source:
         return []
@@ -188,62 +336,65 @@ def spans(source: str | None) -> list[tuple[str, int, int]]:
         if 8 <= digits <= 15 and not _NOT_PHONE.search(t[max(0, m.start() - 30) : m.start()]):
             found.append((3, m.start(), m.end(), "phone"))
     if not known.isdisjoint(_EN_WORDS):
-        found += [(4, m.start(), m.end(), "address") for m in _EN.finditer(t) if _street(m.group())]
+        found += [(4, m.start(), m.end(), "address") for m in _EN.finditer(t) if _street(m.group(), census)]
     if any(w.endswith(_DE_ENDS) for w in known) or _DE_STARTS.search(t):
         found += [(4, m.start(), m.end(), "address") for m in _DE.finditer(t)]
     if not known.isdisjoint(_FR_WORDS):
         found += [(4, m.start(), m.end(), "address") for m in _FR.finditer(t) if _FR_NO.search(m.group())]
     if not known.isdisjoint(_ES_WORDS):
         found += [(4, m.start(), m.end(), "address") for m in _ES.finditer(t)]
+    givens = {w for w in known if census.word(w)[0]}
     for i, w in enumerate(words):
-        if w in _GIVEN_SET:
-            found += _named(t, places, words, i)
+        if w in givens:
+            found += _named(t, places, words, i, census)
         elif len(w) == 1 and t[places[i][0]].isupper():
-            found += _initial(t, places, words, i)
+            found += _initial(t, places, words, i, census)
     found.sort(key=lambda x: (x[0], x[1], -x[2]))
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what is taken, sorted; a new span may touch its neighbours only
+    ends: list[int] = []
     out = []
     for _, a, b, kind in found:
-        if any(a < y and x < b for x, y in taken):
+        k = bisect_left(starts, a)
+        if (k and ends[k - 1] > a) or (k < len(starts) and starts[k] < b):
             continue
-        taken.append((a, b))
+        starts.insert(k, a)
+        ends.insert(k, b)
         out.append((kind, *norm.source(a, b)))
     return sorted(out, key=lambda x: x[1])
 
 
-_GIVEN_SET = frozenset(GIVEN)
-
-
-def _named(t: str, places: list[tuple[int, int]], words: list[str], i: int) -> list[tuple[int, int, int, str]]:
+def _named(t: str, places: list[tuple[int, int]], words: list[str], i: int, census: Census) -> list[tuple[int, int, int, str]]:
     """Names around the given name that is word ``i``."""
     a, b = places[i]
     if (a and (t[a - 1] in "@.'-_" or t[a - 1].isdigit())) or (b < len(t) and (t[b] in "@'_" or t[b].isdigit())):
         return []
     m = _AFTER.match(t, b)
-    if m and _family(t[a:b], m.group("f")) and ("\n" not in m.group() or _ENDS.search(m.group("f"))):
-        return [(5, a, m.end(), "name")]
+    if m:
+        f = m.group("f").split()[-1]
+        _, sure, maybe, _, plain = census.word(f.lower())
+        if sure or (maybe and t[a].isupper() and f[0].isupper() and "\n" not in m.group()) or (plain and t[a].islower() and f[0].islower()):
+            return [(5, a, m.end(), "name")]
     if not i or (b < len(t) and t[b] in ".-" and b + 1 < len(t) and t[b + 1].isalnum()):
         return []
     x, y = places[i - 1]
-    family = t[x:y]
-    if not _ENDS.search(family) or len(family) < 5 or words[i - 1] in _GIVEN_SET or words[i - 1] in _WORDS or words[i - 1] in _FIRM_SET or family[0].islower() != t[a].islower() or not _BETWEEN.fullmatch(t, y, a):
+    if not census.word(words[i - 1])[1] or y - x < 5 or t[x].islower() != t[a].islower() or not _BETWEEN.fullmatch(t, y, a):
         return []
     if (x and t[x - 1] in "@.'-_") or _PLACE_BEFORE.search(t[max(0, x - 12) : x]):
         return []
     return [(7, x, b, "name")]
 
 
-def _initial(t: str, places: list[tuple[int, int]], words: list[str], i: int) -> list[tuple[int, int, int, str]]:
+def _initial(t: str, places: list[tuple[int, int]], words: list[str], i: int, census: Census) -> list[tuple[int, int, int, str]]:
     """Names around the initial that is word ``i``."""
     a, b = places[i]
     if a and t[a - 1] in "@.'/-_&":
         return []
     m = _AFTER_INITIAL.match(t, b)
-    if m and m.group("f").lower() not in _GIVEN_SET and m.group("f").lower() not in _WORDS:
+    if m and census.word(m.group("f").lower())[1]:
         return [(6, a, m.end(), "name")]
     if i and t[b : b + 1] == "." and not t[b + 1 : b + 2].isalnum():
         x, y = places[i - 1]
-        if t[x].isupper() and y - x >= 5 and _ENDS.search(t[x:y]) and words[i - 1] not in _WORDS and words[i - 1] not in _GIVEN_SET and _BETWEEN.fullmatch(t, y, a) and not _PLACE_BEFORE.search(t[max(0, x - 12) : x]):
+        if t[x].isupper() and y - x >= 5 and census.word(words[i - 1])[1] and _BETWEEN.fullmatch(t, y, a) and not _PLACE_BEFORE.search(t[max(0, x - 12) : x]):
             return [(8, x, b, "name")]
     return []
 
@@ -251,8 +402,8 @@ def _initial(t: str, places: list[tuple[int, int]], words: list[str], i: int) ->
 _SHORT_STREET = re.compile(r"(?:rd|st|ave|dr|ln|blvd|ct|ter|sq|pl|cl|gr)\.?$", re.I)
 
 
-def _street(text: str) -> bool:
-    """The words before the kind of street are capitalised like a name, or the whole text is in one case."""
+def _street(text: str, census: Census) -> bool:
+    """The words before the kind of street are capitalised like a name, or all is in lower case and they are mostly capitalised elsewhere."""
     words = re.findall(r"[A-Za-z][\w']*", text)
     kind = next((i for i, w in enumerate(words) if i and re.fullmatch(_STREET_EN, w, re.I)), None)
     if kind is None:
@@ -262,38 +413,17 @@ def _street(text: str) -> bool:
         return False
     if all(w[0].isupper() for w in name):
         return words[kind][0].isupper()
-    return all(w[0].islower() for w in name) and len(name) <= 2 and not _SHORT_STREET.fullmatch(words[kind]) and words[kind].lower() not in ("way", "place", "close", "row", "drive", "court") or " ".join(name).lower() in _STREETS
-
-
-# Street names that also occur in lower case.
-_STREETS = frozenset(("alder", "elm", "kiln", "lantern", "mill", "old ferry", "orchard", "pebble", "quarry", "sycamore", "harbour", "chapel", "cooper's"))
-
-
-def _family(given: str, family: str) -> bool:
-    """A family name after a given one: capitalised alike, or with the ending of a family name where all is in lower case."""
-    f = family.split()[-1]
-    if f.lower() in _GIVEN_SET or f.lower() in _FIRM_SET:
+    if not all(w[0].islower() for w in name) or len(name) > 2:
         return False
-    if _ENDS.search(f) and len(f) >= 5 and f.lower() not in _WORDS:
-        return True
-    return given[0].isupper() and f[0].isupper() and len(f) >= 4 and f.lower() not in _WORDS
-
-
-_FIRM_SET = frozenset(FIRM)
-# Common words that a given name may stand before, in any case.
-_WORDS = frozenset(
-    "more well before after about and then than from with when that this will would could should asked agrees promised attached found spotted closed owns checks looks mailed says said sent told wants been have into over under what where while which there their they them your monday tuesday wednesday "
-    "thursday friday saturday sunday january february march april june july august september october november december even given hidden open often taken broken written garden burden by ham ton den however nearby standby reason person season lesson listen dozen frozen button carton cotton "
-    "wrote schrieb hosted here have has seit steht bringt zustimmt zurück geht liegt termin".split()
-)
+    return all(census.word(w.split("'")[0])[3] for w in name) or (not _SHORT_STREET.fullmatch(words[kind]) and words[kind].lower() not in ("way", "place", "close", "row", "drive", "court"))
 
 
-def redact(source: str | None) -> str | None:
+def redact(source: str | None, census: Census = _NO_CENSUS) -> str | None:
     """The text with each occurrence replaced by ``[KIND]``; null stays null."""
     if not source:
         return source
     out, last = [], 0
-    for kind, a, b in spans(source):
+    for kind, a, b in spans(source, census):
         out.append(source[last:a])
         out.append(f"[{kind.upper()}]")
         last = b
@@ -301,33 +431,94 @@ def redact(source: str | None) -> str | None:
     return "".join(out)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, kind, start, end = [], [], [], []
-        for r, text in enumerate(batch.column("_text").to_pylist()):
-            for k, a, b in spans(text):
-                row.append(r)
-                kind.append(k)
-                start.append(a)
-                end.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(row, pa.int32())), pa.array(kind, pa.string()), pa.array(np.array(start, np.int32)), pa.array(np.array(end, np.int32))], names=["row_id", "kind", "start_at", "end_at"])
+# --- over tables ------------------------------------------------------------------
 
+_COUNTS = "b int, " + ", ".join(f"n{k} long" for k in KINDS_OF_USE)
 
-def find_personal(rows: DataFrame, key: str, text: str) -> DataFrame:
+
+def _count(shared):
+    """Arrow stage: the counts of some batches at a time, one row a bucket: usage, or, with a census, context."""
+
+    def flush(texts: list[str | None], census: Census | None) -> pa.RecordBatch:
+        rows: dict[int, list[int]] = {}
+        for w, row in (count_context(texts, census) if census else count_usage(texts)).items():
+            b = bucket(w)
+            rows[b] = [x + y for x, y in zip(rows[b], row)] if b in rows else row
+        cols = list(zip(*rows.values())) or [()] * len(KINDS_OF_USE)
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], names=["b", *(f"n{k}" for k in KINDS_OF_USE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        census = _opened(shared) if shared else None
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column("_text").to_pylist():
+                held.append(text)
+                size += len(text or "")
+                if size > 20_000_000:
+                    yield flush(held, census)
+                    held, size = [], 0
+        yield flush(held, census)
+
+    return run
+
+
+def census_of(texts: DataFrame, text: str) -> Census:
+    """The census of a column of texts, in two passes: usage, then context by the given names that usage shows.
+
+    Words are counted where they lie and summed by bucket; at most ``BUCKETS``
+    rows come to the driver, whatever the corpus.
+    """
+    rows = texts.select(F.col(text).alias("_text")).filter("_text is not null")
+
+    def counted(shared) -> Census:
+        got = rows.mapInArrow(_count(shared), _COUNTS).groupBy("b").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in KINDS_OF_USE]).orderBy("b").toArrow()
+        return Census(got.column("b").to_numpy().astype(np.int64), np.stack([got.column(f"n{k}").to_numpy() for k in KINDS_OF_USE], axis=1) if got.num_rows else np.zeros((0, len(KINDS_OF_USE)), np.int64))
+
+    usage = counted(None)
+    return usage.plus(counted(_shared(usage, texts)))
+
+
+def _shared(census: Census, df: DataFrame):
+    """A census for the stages of a frame: at most a row for each of the fixed number of buckets."""
+    return df.sparkSession.sparkContext.broadcast((census.used, census.rows))
+
+
+def _opened(shared) -> Census:
+    return Census(*shared.value)
+
+
+def _find(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        census = _opened(shared)
+        for batch in batches:
+            row, kind, start, end = [], [], [], []
+            for r, text in enumerate(batch.column("_text").to_pylist()):
+                for k, a, b in spans(text, census):
+                    row.append(r)
+                    kind.append(k)
+                    start.append(a)
+                    end.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(row, pa.int32())), pa.array(kind, pa.string()), pa.array(np.array(start, np.int32)), pa.array(np.array(end, np.int32))], names=["row_id", "kind", "start_at", "end_at"])
+
+    return run
+
+
+def find_personal(rows: DataFrame, key: str, text: str, census: Census) -> DataFrame:
     """(row_id, kind, start_at, end_at) of each occurrence; nothing is shuffled. Null and empty texts have none."""
-    return rows.select(F.col(key).alias("row_id"), F.col(text).alias("_text")).filter("_text is not null").mapInArrow(_find, f"row_id {rows.schema[key].dataType.simpleString()}, kind string, start_at int, end_at int")
+    return rows.select(F.col(key).alias("row_id"), F.col(text).alias("_text")).filter("_text is not null").mapInArrow(_find(_shared(census, rows)), f"row_id {rows.schema[key].dataType.simpleString()}, kind string, start_at int, end_at int")
 
 
-def redact_texts(rows: DataFrame, columns: list[str]) -> DataFrame:
+def redact_texts(rows: DataFrame, columns: list[str], census: Census) -> DataFrame:
     """``rows`` with the personal information in ``columns`` replaced by placeholders."""
-    schema = rows.schema
+    shared = _shared(census, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _opened(shared)
         for batch in batches:
-            cols = [pa.array([redact(x) for x in batch.column(c).to_pylist()], pa.string()) if c in columns else batch.column(c) for c in batch.schema.names]
+            cols = [pa.array([redact(x, own) for x in batch.column(c).to_pylist()], pa.string()) if c in columns else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def evidence_quotes(evidence: DataFrame) -> DataFrame:
@@ -335,15 +526,21 @@ def evidence_quotes(evidence: DataFrame) -> DataFrame:
     return evidence.filter("evidence_quote is not null and id is not null").groupBy("id").agg(F.min_by("evidence_quote", F.col("ingest_seq")).alias("quote"))
 
 
+def both_texts(emails: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(source_table, row_id, text) of mails and quotes; mails without text keep their row."""
+    mails = emails.select(F.lit("emails").alias("source_table"), F.col("id").alias("row_id"), F.col("body_text_novel").alias("text"))
+    return mails.unionByName(evidence_quotes(evidence).select(F.lit("evidence").alias("source_table"), F.col("id").alias("row_id"), F.col("quote").alias("text")))
+
+
 def personal_information(emails: DataFrame, evidence: DataFrame) -> DataFrame:
     """(source_table, row_id, kind, start_at) over both texts."""
-    mails = find_personal(emails, "id", "body_text_novel").select(F.lit("emails").alias("source_table"), "row_id", "kind", "start_at")
-    quotes = find_personal(evidence_quotes(evidence), "id", "quote").select(F.lit("evidence").alias("source_table"), "row_id", "kind", "start_at")
-    return mails.unionByName(quotes)
+    quotes = cut(evidence_quotes(evidence), "quotes")  # read for the census and for the search
+    census = census_of(emails.select(F.col("body_text_novel").alias("text")).unionByName(quotes.select(F.col("quote").alias("text"))), "text")
+    mails = find_personal(emails, "id", "body_text_novel", census).select(F.lit("emails").alias("source_table"), "row_id", "kind", "start_at")
+    return mails.unionByName(find_personal(quotes, "id", "quote", census).select(F.lit("evidence").alias("source_table"), "row_id", "kind", "start_at"))
 
 
 def redacted_texts(emails: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(source_table, row_id, text): both texts with placeholders; mails without text keep their row."""
-    mails = emails.select(F.lit("emails").alias("source_table"), F.col("id").alias("row_id"), F.col("body_text_novel").alias("text"))
-    quotes = evidence_quotes(evidence).select(F.lit("evidence").alias("source_table"), F.col("id").alias("row_id"), F.col("quote").alias("text"))
-    return redact_texts(mails.unionByName(quotes), ["text"])
+    """(source_table, row_id, text): both texts with placeholders."""
+    both = both_texts(emails, evidence)
+    return redact_texts(both, ["text"], census_of(both, "text"))

@@ -62,6 +62,15 @@ _FOLD |= {c: str(unicodedata.digit(chr(c))) for c in range(0x80, 0x1FFFF) if uni
 _FOLD |= {c: " " for c in (0xA0, 0x2007, 0x202F, 0x3000, 0x2009, 0x200A, 0x2002, 0x2003)}
 _FOLD |= {c: "-" for c in (0x2010, 0x2011, 0x2012, 0x2212)}
 _FOLD |= {0x2019: "'", 0x2018: "'", 0x3002: ".", 0x2024: "."}
+_FOLDED = {chr(k): v for k, v in _FOLD.items()}
+_HIGH = re.compile(r"[^\x00-\x7f]")
+
+
+def fold_letters(text: str) -> str:
+    """Each look-alike or accented character as its plain one: one for one, so offsets stay. Texts have few of them."""
+    return text if text.isascii() else _HIGH.sub(lambda m: _FOLDED.get(m.group(), m.group()), text)
+
+
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]+")
 _DIGITS = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "oh ein zwo drei vier fuenf sechs sieben acht neun", "null eins zwei drei vier funf sechs sieben acht neun") for i, w in enumerate(words.split())} | {"ein": "1", "zwo": "2"}
 _SPELLED = re.compile(r"\b(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?:[ ,-]+(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r"|\d)){4,}\b", re.I)
@@ -80,7 +89,7 @@ class Normalised:
     def __init__(self, source: str):
         text, origin = source, None
         if not text.isascii():
-            text = text.translate(_FOLD)  # one character for one: offsets stay
+            text = fold_letters(text)
             text, origin = _rewrite(text, origin, _HIDDEN, lambda m: "")
         low = text.lower()
         if " AT " in text or " dot " in low or " punkt " in low or _BRACKETS.search(low):
@@ -173,9 +182,14 @@ _PLACE_BEFORE = re.compile(r"\b(?:in|to|at|from|near|reached|nach|aus|über|zu|
 
 # --- the census of words ---------------------------------------------------------
 
-_PIECES = re.compile(r"[^\W\d_]+|\S|\n")
+_PIECES = re.compile(r"[A-Za-z]+|[^A-Za-z ]")  # of folded texts; a word, a mark or a line end
+_WORD = re.compile(r"[A-Za-z]+")
+_INSIDE = re.compile(r"[a-z] ([A-Z][A-Za-z]+)")
+_SIDE_BY_SIDE = re.compile(r"([A-Z][A-Za-z]+) (?=([A-Z][A-Za-z]+))")
 _ADDRESS = re.compile(r"[^\s<>()]*@[^\s<>()]*")
-_ALONE = re.compile(r"^[ \t>|]*(?:(?:hi|hello|hey|dear|hallo|lieber?|moin|bonjour|hola|good morning|good afternoon|guten (?:morgen|tag)|.{0,24}(?:regards|thanks|wishes|cheers|grusse|gruss|dank)),?[ \t]+)?([^\W\d_]{2,20})[ \t]*,?[ \t]*\r?$", re.I | re.M)
+_ALONE = re.compile(r"^[ \t>|]*(?:(?:[Hh]i|[Hh]ello|[Hh]ey|[Dd]ear|[Hh]allo|[Ll]ieber?),? )?([A-Za-z]{2,20}),?[ \t]*\r?$", re.M)
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LETTERS = frozenset(x.lower() for x in _CAPITALS)
 _GIVEN_SET = frozenset(GIVEN)
 _FIRM_SET = frozenset(FIRM)
 BUCKETS = 1 << 20
@@ -189,10 +203,9 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def _pieces(text: str) -> tuple[str, list[str]]:
-    t = text if text.isascii() else text.translate(_FOLD)
-    t = _ADDRESS.sub(" ", t) if "@" in t else t  # parts of addresses are no words
-    return t, _PIECES.findall(t)
+def _folded(text: str) -> str:
+    t = fold_letters(text)
+    return _ADDRESS.sub(" ", t) if "@" in t else t  # parts of addresses are no words
 
 
 def _table(seen: dict[int, Counter[str]]) -> dict[str, list[int]]:
@@ -209,9 +222,9 @@ def count_usage(texts: Iterable[str | None]) -> dict[str, list[int]]:
     seen = {k: Counter() for k in (LOW, MID, ALONE)}
     for text in texts:
         if text:
-            t, p = _pieces(text)
-            seen[LOW].update(p)
-            seen[MID].update([b for a, b in zip(p, p[1:]) if b[0].isupper() and a.islower()])
+            t = _folded(text)
+            seen[LOW].update(_WORD.findall(t))
+            seen[MID].update(_INSIDE.findall(t))
             seen[ALONE].update(_ALONE.findall(t))
     return _table(seen)
 
@@ -222,10 +235,13 @@ def count_context(texts: Iterable[str | None], census: Census) -> dict[str, list
     for text in texts:
         if not text:
             continue
-        _, p = _pieces(text)
+        t = _folded(text)
+        p = _PIECES.findall(t)
         given = {w for w in set(p) if len(w) > 2 and census.word(w.lower())[0]}
-        for i, a in enumerate(p):
-            if a in given:
+        hot = given | _CAPITALS
+        for i in [i for i, a in enumerate(p) if a in hot]:
+            a = p[i]
+            if len(a) > 1:
                 upper, rest = a[0].isupper(), p[i + 1 : i + 4]
                 if len(rest) == 3 and rest[1] == "." and len(rest[0]) == 1 and rest[2][0].isupper():
                     seen[AFTER][rest[2]] += 1
@@ -236,11 +252,11 @@ def count_context(texts: Iterable[str | None], census: Census) -> dict[str, list
                 # Without a comma a capital at the start of a sentence says nothing.
                 if upper and j >= 0 and p[j][0].isupper() and p[j] not in given and (comma or (j and p[j - 1].islower())):
                     seen[BEFORE][p[j]] += 1
-            elif len(a) == 1 and a.isupper() and i + 1 < len(p):
+            elif i + 1 < len(p):
                 b = p[i + 2] if p[i + 1] == "." and i + 2 < len(p) else p[i + 1]
                 if b[0].isupper() and len(b) > 3:
                     seen[INITIAL][b] += 1
-        seen[PAIR].update([b for a, b in zip(p, p[1:]) if b[0].isupper() and a[0].isupper() and len(a) > 1 and a not in given])
+        seen[PAIR].update([b for a, b in _SIDE_BY_SIDE.findall(t) if a not in given])
     return _table(seen)
 
 
@@ -250,6 +266,9 @@ class Census:
     def __init__(self, used: np.ndarray | None = None, rows: np.ndarray | None = None):
         self.used, self.rows = used, rows
         self.known: dict[str, tuple[bool, bool, bool, bool, bool]] = {}
+        self.seen: set[str] = set()
+        self.given: set[str] = set()
+        self.street: set[str] = set()
 
     @classmethod
     def of(cls, texts: Iterable[str | None]) -> Census:
@@ -276,6 +295,17 @@ class Census:
         k = int(np.searchsorted(self.used, b))
         return self.rows[k].tolist() if k < len(self.used) and self.used[k] == b else [0] * len(KINDS_OF_USE)
 
+    def sort_out(self, words: set[str]) -> tuple[set[str], bool]:
+        """Which of a text's words are given names, and whether one ends like a street."""
+        if len(self.seen) > 400_000:
+            self.seen, self.given, self.street = set(), set(), set()
+        new = words - self.seen
+        if new:
+            self.seen |= new
+            self.given |= {w for w in new if self.word(w)[0]}
+            self.street |= {w for w in new if w.endswith(_DE_ENDS)}
+        return words & self.given, not words.isdisjoint(self.street)
+
     def word(self, w: str) -> tuple[bool, bool, bool, bool, bool]:
         """(given, surely a family name, possibly one, mostly capitalised, a family name in lower case) for a word in lower case."""
         got = self.known.get(w)
@@ -321,9 +351,9 @@ def spans(source: str | None, census: Census = _NO_CENSUS) -> list[tuple[str, in
             start = m.start() + (len("mailto") + 1 if m.group().lower().startswith("mailto:") else 0)
             found.append((0, start, m.end(), "email"))
     low = t.lower()
-    places = [(m.start(), m.end()) for m in _TOKEN.finditer(low)]
-    words = [low[a:b] for a, b in places]
+    words = _TOKEN.findall(low)
     known = set(words)
+    givens, streets = census.sort_out(known)
     if not known.isdisjoint(_PERSONAL_WORDS):
         for m in _PERSONAL.finditer(t):
             if sum(c.isdigit() for c in m.group("v")) >= 5:
@@ -337,18 +367,21 @@ def spans(source: str | None, census: Census = _NO_CENSUS) -> list[tuple[str, in
             found.append((3, m.start(), m.end(), "phone"))
     if not known.isdisjoint(_EN_WORDS):
         found += [(4, m.start(), m.end(), "address") for m in _EN.finditer(t) if _street(m.group(), census)]
-    if any(w.endswith(_DE_ENDS) for w in known) or _DE_STARTS.search(t):
+    if streets or _DE_STARTS.search(t):
         found += [(4, m.start(), m.end(), "address") for m in _DE.finditer(t)]
     if not known.isdisjoint(_FR_WORDS):
         found += [(4, m.start(), m.end(), "address") for m in _FR.finditer(t) if _FR_NO.search(m.group())]
     if not known.isdisjoint(_ES_WORDS):
         found += [(4, m.start(), m.end(), "address") for m in _ES.finditer(t)]
-    givens = {w for w in known if census.word(w)[0]}
-    for i, w in enumerate(words):
-        if w in givens:
-            found += _named(t, places, words, i, census)
-        elif len(w) == 1 and t[places[i][0]].isupper():
-            found += _initial(t, places, words, i, census)
+    hot = givens | _LETTERS
+    near = [i for i, w in enumerate(words) if w in hot]
+    if near:
+        places = [m.span() for m in _TOKEN.finditer(low)]
+        for i in near:
+            if len(words[i]) > 1:
+                found += _named(t, places, words, i, census)
+            elif t[places[i][0]].isupper():
+                found += _initial(t, places, words, i, census)
     found.sort(key=lambda x: (x[0], x[1], -x[2]))
     starts: list[int] = []  # of what is taken, sorted; a new span may touch its neighbours only
     ends: list[int] = []

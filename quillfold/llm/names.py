@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.functions.identity import registrable, sld
 from quillfold.llm.neardup import pairs_across
-from quillfold.llm.pii import _FOLD, FIRM, GIVEN
+from quillfold.llm.pii import FIRM, GIVEN, fold_letters
 from quillfold.operators.components import connected_components
 from quillfold.operators.lookalike import without_one
 from quillfold.session import cut
@@ -52,7 +53,7 @@ _PAREN = re.compile(r"\([^)]*\)|\[[^\]]*\]")
 
 
 def fold(s: str) -> str:
-    return s.translate(_FOLD).lower()
+    return fold_letters(s).lower()
 
 
 class Givens:
@@ -303,66 +304,66 @@ def _masks(words: list[str]) -> np.ndarray:
     return out
 
 
-def _cell_pairs(words: list[str], home: np.ndarray, far: np.ndarray, r: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of a cell that may be within the radius, i the smaller word and at home here.
+def _near(cell: np.ndarray, words: list[str], home: np.ndarray, far: np.ndarray, r: int, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) within the cells of a batch that may be within the radius, x the smaller word and at home there.
 
     ``far`` has the distances to the pivots: of two words within r, no two
-    differ by more than r (triangle inequality). Pairs are compared by blocks of
-    rows, and only with words of a fitting length.
+    differ by more than r (triangle inequality). A word meets only those of its
+    cell whose length fits, some ``chunk`` pairs at a time.
     """
-    size = np.array([len(w) for w in words])
-    order = np.argsort(size, kind="stable")
-    size, home, far, mask = size[order], home[order], far[order], _masks([words[i] for i in order])
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.lexsort((size, cell))
+    cell, size, home, far, mask = cell[order], size[order], home[order], far[order], _masks([words[i] for i in order])
     rank = np.empty(len(words), np.int64)
-    rank[np.array(sorted(range(len(words)), key=lambda i: words[order[i]]), np.int64)] = np.arange(len(words))
-    for a in range(0, len(words), block):
-        b = min(a + block, len(words))
-        end = int(np.searchsorted(size, size[b - 1] + r, "right"))
-        ok = np.bitwise_count(mask[a:b, None] ^ mask[None, a:end]) <= 2 * r
-        for k in range(far.shape[1]):
-            ok &= np.abs(far[a:b, k, None] - far[None, a:end, k]) <= r
-        i, j = np.nonzero(ok)
-        i, j = i + a, j + a
-        use = i < j
-        i, j = i[use], j[use]
-        x, y = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+    rank[sorted(range(len(words)), key=lambda i: words[order[i]])] = np.arange(len(words))
+    key = (cell << 32) + size
+    n = np.searchsorted(key, key + r, "right") - np.arange(len(words)) - 1
+    begin = 0
+    total = np.concatenate([[0], np.cumsum(n)])
+    while begin < len(words):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + chunk, "right")) - 1)
+        i = np.repeat(np.arange(begin, end), n[begin:end])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], n[begin:end])
+        begin = end
+        ok = np.flatnonzero(np.bitwise_count(mask[i] ^ mask[j]) <= 2 * r)
+        i, j = i[ok], j[ok]
+        ok = np.flatnonzero((np.abs(far[i] - far[j]) <= r).all(axis=1))
+        i, j = i[ok], j[ok]
+        first = rank[i] < rank[j]
+        x, y = np.where(first, i, j), np.where(first, j, i)
         use = home[x]
         yield order[x[use]], order[y[use]]
 
 
-def _join_cells(r: int):
-    """Arrow stage over records sorted by cell: candidate pairs of each cell."""
+def _join_cells(r: int, hold: int = 50_000):
+    """Arrow stage over records sorted by cell: candidate pairs of the cells, many small ones or one large one at a time."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], list[bool], list]]:
-        key, words, home, far = None, [], [], []
-        for batch in batches:
-            for g, c, w, h, d in zip(*(batch.column(k).to_pylist() for k in ("grp", "cell", "word", "home", "far"))):
-                if (g, c) != key:
-                    if words:
-                        yield key[0], words, home, far
-                    key, words, home, far = (g, c), [], [], []
-                words.append(w)
-                home.append(h)
-                far.append(d)
-        if words:
-            yield key[0], words, home, far
+    def pairs(part: pa.Table) -> pa.RecordBatch:
+        words = part.column("word").to_pylist()
+        grp, at = part.column("grp").combine_chunks(), part.column("cell").to_numpy()
+        new = np.ones(len(words), bool)
+        new[1:] = (at[1:] != at[:-1]) | pc.not_equal(grp.slice(1), grp.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+        far = part.column("far").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1)
+        found = list(_near(np.cumsum(new), words, part.column("home").to_numpy(), far, r))
+        x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        word = part.column("word").combine_chunks()
+        return pa.RecordBatch.from_arrays([grp.take(pa.array(x)), word.take(pa.array(x)), word.take(pa.array(y))], names=["grp", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buf: list[tuple[str, str, str]] = []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*buf)) or [(), (), ()]
-            buf.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["grp", "x", "y"])
-
-        for g, words, home, far in cells(batches):
-            if len(words) == 1:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) < hold:
                 continue
-            for i, j in _cell_pairs(words, np.array(home), np.array(far, np.int16), r):
-                buf += [(g, words[p], words[q]) for p, q in zip(i.tolist(), j.tolist())]
-                if len(buf) >= 20_000:
-                    yield flush()
-        yield flush()
+            part = pa.Table.from_batches(kept)
+            grp, at = part.column("grp"), part.column("cell")
+            last = pc.and_(pc.equal(grp, grp[-1]), pc.equal(at, at[-1]))  # the last cell may go on
+            whole = part.num_rows - pc.sum(last).as_py()
+            if whole:
+                yield pairs(part.slice(0, whole))
+            kept = part.slice(whole).combine_chunks().to_batches()
+        if kept:
+            yield pairs(pa.Table.from_batches(kept))
 
     return run
 
@@ -383,13 +384,13 @@ def name_cells(words: DataFrame, pivots: list[str], r: int) -> DataFrame:
 def radius_pairs(names: DataFrame, r: int = RADIUS, most_pivots: int = 64) -> DataFrame:
     """(grp, x, y, d): distinct names x < y of one group at Levenshtein distance ``r`` or less, 1 where one has fewer than six letters.
 
-    ``names`` has (grp, word). The number of pivots is a quarter of the root of
-    the number of names, at least 4 and at most ``most_pivots`` (short strings,
+    ``names`` has (grp, word). The number of pivots is the root of the largest
+    group's number of names, at least 4 and at most ``most_pivots`` (short strings,
     drawn by hash). A pair comes out of one cell only: that of its smaller name.
     """
     words = cut(names.filter("grp is not null and word is not null and word != ''").distinct(), "words")
-    number = words.count()
-    drawn = [x.word for x in words.select(F.substring("word", 1, 32).alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(max(4, min(most_pivots, math.isqrt(number) // 4))).collect()] or [""]
+    number = words.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    drawn = [x.word for x in words.select(F.substring("word", 1, 32).alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(max(4, min(most_pivots, math.isqrt(number)))).collect()] or [""]
     cells = name_cells(words, drawn, r).repartition("grp", "cell").sortWithinPartitions("grp", "cell")
     found = cells.mapInArrow(_join_cells(r), "grp string, x string, y string").withColumn("d", F.levenshtein("x", "y", r))
     return found.filter((F.col("d") >= 0) & ((F.least(F.length("x"), F.length("y")) >= 6) | (F.col("d") <= 1)))

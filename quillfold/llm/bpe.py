@@ -291,6 +291,16 @@ class Encoder:
         shift = np.repeat(self.starts[at] - ends[:-1], n)
         return self.flat[shift + np.arange(ends[-1])], text_at
 
+    def starts_of(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each id the offset in UTF-8 bytes of its token in its text: slices of the text that decode to it."""
+        if not hasattr(self, "_sizes"):
+            self._sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            for token, i in self.ranks.items():
+                self._sizes[i] = len(token)
+        size = self._sizes[flat]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return (total[:-1] - np.repeat(total[ends[:-1]], np.diff(ends))).astype(np.int32)
+
     def decode(self, ids: list[int]) -> str:
         if not hasattr(self, "_back"):
             self._back = {v: k for k, v in self.ranks.items()}

@@ -48,6 +48,29 @@ def encode_texts(docs: DataFrame, keys: list[str], text: str = "text", tokenizer
     return rows.mapInArrow(_batches(os.path.join(tokenizers, rank_file), False, keys), schema)
 
 
+def encode_offsets(docs: DataFrame, keys: list[str], text: str = "text", tokenizers: str = TOKENIZERS, rank_file: str = BYTE_BPE) -> DataFrame:
+    """``keys``, ``ids`` and ``starts``: for each id the offset of its token in the text's UTF-8 bytes.
+
+    The bytes from one start to the next are the token's own, so any run of ids
+    decodes to a slice of the text without decoding what is before it. Null and
+    empty texts give two empty lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoder(os.path.join(tokenizers, rank_file))
+        for batch in batches:
+            texts = [x or "" for x in batch.column("_text").to_pylist()]
+            for a, b in bpe.groups(texts):
+                flat, ends = enc.encode(texts[a:b])
+                bounds = pa.array(ends.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (flat, enc.starts_of(flat, ends))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keys), *lists], names=[*keys, "ids", "starts"])
+
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*(docs.schema[k] for k in keys), T.StructField("ids", ints), T.StructField("starts", ints)])
+    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
 def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", tokenizers: str = TOKENIZERS, rank_file: str = BYTE_BPE) -> DataFrame:
     """``keys`` and ``n_tokens``; null and empty texts have 0."""
     schema = T.StructType([*(docs.schema[k] for k in keys), T.StructField("n_tokens", T.LongType())])

@@ -170,7 +170,7 @@ def _boiler(lines: list[str], state: list[int]) -> None:
     i = 0
     while i < n:
         if state[i] == NEW and _BOILER.match(lines[i]):
-            # Wrapped: "Ruskest Press. Registered office" may begin on the line before.
+            # A wrapped notice goes on to the end of its paragraph.
             while i < n and state[i] == NEW:
                 state[i] = BOILER
                 i += 1

@@ -42,6 +42,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(load(spark, d, "documents"), ["doc_id"])
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Ids with the byte offset of each token."""
+    return encode.encode_offsets(load(spark, d, "documents"), ["doc_id"])
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).documents
 

@@ -51,3 +51,11 @@ def test_cache_is_bounded():
     for i in range(20):
         enc.encode([f"w{i} x{i}"])
         assert len(enc.index) <= 16
+
+
+def test_offsets_cut_the_text_into_its_tokens(spark):
+    rows = [(1, "Grüße, 東京! \U0001f600 and so on  \n\n x"), (2, None), (3, ""), (4, "a" * 5000)]
+    enc = bpe.Encoder(FILE)
+    for r in encode.encode_offsets(spark.createDataFrame(rows, "k int, text string"), ["k"], tokenizers=FILE.rsplit("/", 1)[0]).collect():
+        data = (rows[r.k - 1][1] or "").encode()
+        assert len(r.ids) == len(r.starts) and [enc.ranks[data[a:b]] for a, b in zip(r.starts, [*r.starts[1:], len(data)])] == r.ids

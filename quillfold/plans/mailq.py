@@ -35,10 +35,10 @@ def thread_rollup_upper_median(spark, d):
 
 
 def thread_count_check(spark, d):
-    """Threads whose stored message count differs from their messages."""
+    """Threads by the difference between their stored message count and their messages."""
     n = _mails(spark, d).groupBy("thread_id").agg(F.count("*").alias("found"))
     t = load(spark, d, "threads").select(F.col("id").alias("thread_id"), "message_count")
-    return t.join(n, "thread_id", "left").select("thread_id", "message_count", F.coalesce("found", F.lit(0)).alias("found")).filter("found != message_count")
+    return t.join(n, "thread_id", "left").groupBy((F.coalesce("found", F.lit(0)) - F.col("message_count")).alias("difference")).agg(F.count("*").alias("threads"))
 
 
 def normalized_subjects(spark, d):
@@ -160,7 +160,8 @@ def orphan_checks(spark, d):
 
 
 def self_person_check(spark, d):
-    return load(spark, d, "people").groupBy("user_id").agg(F.count_if("is_self").alias("selves")).filter("selves != 1")
+    """People rows that are the owner's own, by mailbox; one each is right."""
+    return load(spark, d, "people").groupBy("user_id").agg(F.count_if("is_self").alias("selves"), F.count("*").alias("people"))
 
 
 def duplicate_ids(spark, d):
@@ -173,11 +174,11 @@ def duplicate_messages(spark, d):
 
 
 def tag_coverage(spark, d):
-    """Categories that a mailbox has fewer than five mails of (the vocabulary is fixed, so the product is small)."""
+    """Categories that a mailbox has fewer than twenty mails of (the vocabulary is fixed, so the product is small)."""
     kinds = F.explode(F.array(*[F.lit(f"CATEGORY_{x}") for x in ("PERSONAL", "SOCIAL", "PROMOTIONS", "UPDATES", "FORUMS")])).alias("category")
     want = load(spark, d, "users").select(F.col("id").alias("user_id"), kinds)
     have = load(spark, d, "emails").groupBy("user_id", "category").agg(F.count("*").alias("n"))
-    return want.join(have, ["user_id", "category"], "left").select("user_id", "category", F.coalesce("n", F.lit(0)).alias("n")).filter("n < 5")
+    return want.join(have, ["user_id", "category"], "left").select("user_id", "category", F.coalesce("n", F.lit(0)).alias("n")).filter("n < 20")
 
 
 def rate_limit_hourly(spark, d):
@@ -243,9 +244,12 @@ _RELATED = """CASE WHEN a.domain = b.domain THEN 'same'
 QUERIES = {
     "thread_position_latency": (thread_position_latency, KEPT + "SELECT id, row_number() OVER w AS position, us // 1000000 - lag(us) OVER w // 1000000 AS latency_s FROM m WINDOW w AS (PARTITION BY thread_id ORDER BY us, id)"),
     "thread_rollup_upper_median": (thread_rollup_upper_median, KEPT + ", g AS (SELECT *, us // 1000000 - lag(us) OVER (PARTITION BY thread_id ORDER BY us, id) // 1000000 AS gap FROM m) SELECT thread_id, count(*) AS messages, min(us) AS first_at, max(us) AS last_at, arg_min(id, {'u': us, 'i': id}) AS root, list_sort(list(gap) FILTER (gap IS NOT NULL))[1 + (count(gap) // 2)] AS median_gap_s FROM g GROUP BY thread_id"),
-    "thread_count_check": (thread_count_check, KEPT + "SELECT t.id AS thread_id, t.message_count, coalesce(n, 0) AS found FROM threads t LEFT JOIN (SELECT thread_id, count(*) AS n FROM m GROUP BY 1) c ON c.thread_id = t.id WHERE coalesce(n, 0) <> t.message_count"),
+    "thread_count_check": (thread_count_check, KEPT + "SELECT coalesce(n, 0) - t.message_count AS difference, count(*) AS threads FROM threads t LEFT JOIN (SELECT thread_id, count(*) AS n FROM m GROUP BY 1) c ON c.thread_id = t.id GROUP BY 1"),
     "normalized_subjects": (normalized_subjects, "SELECT id, lower(trim(regexp_replace(regexp_replace(coalesce(subject, ''), '(?i)^\\s*((re|fw|fwd|aw|sv)\\s*(\\[\\d+\\])?\\s*:\\s*)+', ''), '\\s+', ' ', 'g'))) AS subject_key FROM emails"),
-    "split_novel_mails": (split_novel_mails, None),
+    "split_novel_mails": (
+        split_novel_mails,
+        r"WITH h AS (SELECT id, regexp_split_to_array(coalesce(body_text_full, ''), '" + text.QUOTE_HEADER + r"')[1] AS t FROM emails), n AS (SELECT id, regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT starts_with(ltrim(x), '>')), chr(10)), '^\s+|\s+$', '', 'g') AS t FROM h) SELECT id, length(t) AS novel_chars, md5(t) AS novel_md5 FROM n",
+    ),
     "word_counts_by_folder": (word_counts_by_folder, "SELECT folder, count(*) AS mails, CAST(sum(w) AS BIGINT) AS words, max(w) AS most_words FROM (SELECT folder, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS w FROM (SELECT folder, trim(regexp_replace(coalesce(body_text_full, ''), '\\s+', ' ', 'g')) AS t FROM emails)) GROUP BY folder"),
     "folder_pivot": (folder_pivot, "SELECT user_id, " + ", ".join(f"count(*) FILTER (folder = '{x}') AS \"{x}\"" for x in ("INBOX", "SENT", "ARCHIVE", "SPAM", "TRASH")) + " FROM emails GROUP BY user_id"),
     "contains_question_rate": (contains_question_rate, "SELECT direction, count(*) AS mails, count(*) FILTER (regexp_matches(concat_ws(chr(10), subject, body_text_novel), '" + text.ASKS + "')) AS asking FROM emails GROUP BY direction"),
@@ -277,10 +281,10 @@ LEFT JOIN (SELECT user_id, count(DISTINCT id) AS claims FROM evidence GROUP BY 1
     "orphan_checks": (orphan_checks, """SELECT 'evidence_without_email' AS rule, count(*) AS orphans FROM evidence WHERE source_email_id IS NOT NULL AND source_email_id NOT IN (SELECT id FROM emails)
 UNION ALL SELECT 'participant_without_email', count(*) FROM email_participants WHERE email_id NOT IN (SELECT id FROM emails) UNION ALL SELECT 'email_without_thread', count(*) FROM emails WHERE thread_id IS NOT NULL AND thread_id NOT IN (SELECT id FROM threads)
 UNION ALL SELECT 'identity_without_person', count(*) FROM person_identities WHERE person_id NOT IN (SELECT id FROM people)"""),
-    "self_person_check": (self_person_check, "SELECT user_id, count(*) FILTER (is_self) AS selves FROM people GROUP BY 1 HAVING count(*) FILTER (is_self) <> 1"),
+    "self_person_check": (self_person_check, "SELECT user_id, count(*) FILTER (is_self) AS selves, count(*) AS people FROM people GROUP BY 1"),
     "duplicate_ids": (duplicate_ids, "SELECT md5(text) AS text_md5, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(*) > 1"),
     "duplicate_messages": (duplicate_messages, "SELECT account_id, lower(trim(provider_message_id, E' \\t\\n\\r')) AS message, count(*) AS deliveries, count(DISTINCT batch_id) AS batches FROM emails GROUP BY 1, 2 HAVING count(*) > 1"),
-    "tag_coverage": (tag_coverage, "SELECT u.id AS user_id, c AS category, count(e.id) AS n FROM users u CROSS JOIN (SELECT unnest(['CATEGORY_PERSONAL','CATEGORY_SOCIAL','CATEGORY_PROMOTIONS','CATEGORY_UPDATES','CATEGORY_FORUMS']) AS c) LEFT JOIN emails e ON e.user_id = u.id AND e.category = c GROUP BY 1, 2 HAVING count(e.id) < 5"),
+    "tag_coverage": (tag_coverage, "SELECT u.id AS user_id, c AS category, count(e.id) AS n FROM users u CROSS JOIN (SELECT unnest(['CATEGORY_PERSONAL','CATEGORY_SOCIAL','CATEGORY_PROMOTIONS','CATEGORY_UPDATES','CATEGORY_FORUMS']) AS c) LEFT JOIN emails e ON e.user_id = u.id AND e.category = c GROUP BY 1, 2 HAVING count(e.id) < 20"),
     "rate_limit_hourly": (rate_limit_hourly, "SELECT user_id, count(*) AS requests, count(*) FILTER (n <= 2) AS accepted FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) GROUP BY user_id"),
     "running_budget": (running_budget, "SELECT o_custkey, count(*) AS within, round(max(s), 2) AS spent FROM (SELECT o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM orders) WHERE s <= 1000000.0 GROUP BY 1"),
     "resume_anti_join": (resume_anti_join, "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"),

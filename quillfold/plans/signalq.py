@@ -126,6 +126,23 @@ def snippet_check(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("user_id").agg(F.count("*").alias("snippets"), F.count_if(~ok).alias("strange"), F.max(F.length(text.excerpt(F.col("body_text_full")))).alias("longest_excerpt"))
 
 
+def claim_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What native patterns find to extract in new text."""
+    from quillfold.operators.extract import claim_candidates as candidates
+
+    return candidates(_kept(spark, d)).groupBy("email_id", "attribute").agg(F.count("*").alias("n"), F.min("summary").alias("first_summary"))
+
+
+def attribute_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of claims with its use: attributes of the registry without any claim show 0."""
+    from quillfold.operators import ledger
+    from quillfold.operators.changefeed import clean_key
+
+    words = spark.createDataFrame(sorted(ledger.VOCABULARY.items()), "attribute string, act string")
+    used = load(spark, d, "evidence").groupBy(clean_key(F.col("attribute")).alias("attribute")).agg(F.count_distinct("id").alias("claims"))
+    return words.join(used, "attribute", "left").select("attribute", "act", F.coalesce("claims", F.lit(0)).alias("claims"))
+
+
 # --- SQL twins ------------------------------------------------------------------
 
 _H = {n: f"coalesce({c}, false)" for n, _, c in HEADERS}
@@ -165,7 +182,25 @@ def _variants_sql() -> str:
     return _KEPT + f", a AS (SELECT k.*, {_AUTO} AS automation_reason FROM kept k LEFT JOIN senders s ON s.email_id = k.id)" + gold + f", u AS ({each}) SELECT rule, count(*) FILTER (drops) AS gated, count(*) FILTER (drops AND g) AS gold_lost, count(*) FILTER (NOT drops) AS to_extract FROM u GROUP BY rule"
 
 
+def _candidates_sql() -> str:
+    from quillfold.operators.extract import PATTERNS
+
+    quoted = [(a, p.replace("'", "''").replace("\\n", "\n")) for a, p in PATTERNS]
+    each = " UNION ALL ".join(f"SELECT id, '{a}' AS attribute, unnest(regexp_extract_all(coalesce(body_text_novel, ''), '{p}', 0)) AS q, '{p}' AS p FROM kept" for a, p in quoted)
+    first = "CASE attribute " + " ".join(f"WHEN '{a}' THEN regexp_extract(q, '{p}', 1)" for a, p in quoted) + " END"
+    return _KEPT + f", c AS ({each}) SELECT id AS email_id, attribute, count(*) AS n, min({first}) AS first_summary FROM c GROUP BY 1, 2"
+
+
+def _vocabulary_sql() -> str:
+    from quillfold.operators import ledger
+
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in ledger.VOCABULARY.items())
+    return rf"SELECT attribute, act, coalesce(n, 0) AS claims FROM (VALUES {rows}) v(attribute, act) LEFT JOIN (SELECT lower(trim(attribute, E' \t\n\r')) AS a, count(DISTINCT id) AS n FROM evidence GROUP BY 1) ON a = attribute"
+
+
 QUERIES = {
+    "claim_candidates": (claim_candidates, _candidates_sql()),
+    "attribute_vocabulary": (attribute_vocabulary, _vocabulary_sql()),
     "classifier_chain_flags": (classifier_chain_flags, _SIGNALS + "SELECT * FROM flags"),
     "automation_reasons": (automation_reasons, _SIGNALS + "SELECT coalesce(automation_reason, 'none') AS automation, coalesce(noise_reason, 'none') AS noise, count(*) AS mails FROM flags GROUP BY 1, 2"),
     "gate_variants_study": (gate_variants_study, _variants_sql()),

@@ -50,6 +50,17 @@ def stream_changes(spark: SparkSession, d: str, files: int = 20) -> DataFrame:
     return feeds.follow_changes(spark, path, t, files_per_trigger=2).read()
 
 
+def stream_keyed_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The full fold kept up to date over a stream of claims in eight files that aren't in order of time; its items are those of the batch fold."""
+    from quillfold.plans.ledgerq import _claims
+
+    claim = _claims(spark, d).drop("evidence_quote", "observed_at")
+    path = shared_path(spark, "claims")
+    claim.repartition(8, "id").write.parquet(path)
+    out = feeds.follow_fold(spark, path, spark.read.parquet(path), files_per_trigger=2)
+    return out.filter("row_kind = 'item'").groupBy("user_id", "status").agg(F.count("*").alias("items"), F.sum("claims").alias("claims"))
+
+
 from quillfold.plans.mailops import P1_SQL  # noqa: E402
 
 QUERIES = {
@@ -57,4 +68,5 @@ QUERIES = {
     "stream_tumbling": (stream_tumbling, "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_session": (stream_session, "WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1"),
     "stream_changes": (stream_changes, P1_SQL),
+    "stream_keyed_fold": (stream_keyed_fold, None),
 }

@@ -43,14 +43,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return path
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete now what :func:`cut` wrote for this session, once its results are consumed; paths in ``keep`` stay."""
+    for path in _WRITTEN.pop(id(spark), []):
+        if path not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+_WRITTEN: dict[int, list[str]] = {}
 
 
 def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _WRITTEN.setdefault(id(spark), []).append(path)
     w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)

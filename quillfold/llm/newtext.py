@@ -323,9 +323,9 @@ def _lines(proposals: bool):
                         own[0].append(h)
                         own[1].append((on[k] + 1) << 31 | (on[k + 1] + 1 if k + 1 < len(on) else 0))
                 for i, s in enumerate(states):
-                    if s == BLANK:
-                        continue
                     norm = normalised(lines[i])
+                    if not norm:  # blank, or nothing but quote marks
+                        continue
                     row.append(r)
                     no.append(i + 1)
                     text.append(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillfold.functions.text import address, urlsafe_b64
 
 PLAIN = 'text/plain; charset="UTF-8"'
+# The lines that every calendar text begins with.
+CALENDAR = ("BEGIN:VCALENDAR", "PRODID:-//Google Inc//Google Calendar 70.9054//EN", "VERSION:2.0", "CALSCALE:GREGORIAN")
 
 
 def _people(c: str) -> Column:
@@ -58,7 +60,7 @@ def ics(ev: Column) -> Column:
     some = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
     text = F.array_compact(
         F.array(
-            *[F.lit(x) for x in ("BEGIN:VCALENDAR", "PRODID:-//Google Inc//Google Calendar 70.9054//EN", "VERSION:2.0", "CALSCALE:GREGORIAN")], line("METHOD:", ev["method"]), F.lit("BEGIN:VEVENT"), line("UID:", ev["uid"]), line("DTSTAMP:", stamp(ev["dtstart"]), "Z"),
+            *[F.lit(x) for x in CALENDAR], line("METHOD:", ev["method"]), F.lit("BEGIN:VEVENT"), line("UID:", ev["uid"]), line("DTSTAMP:", stamp(ev["dtstart"]), "Z"),
             line("DTSTART;TZID=", ev["timezone"], ":", stamp(ev["dtstart"])), line("DTEND;TZID=", ev["timezone"], ":", stamp(ev["dtend"])), line("SEQUENCE:", ev["sequence"].cast("string")), line("STATUS:", ev["status"]), line("SUMMARY:", ev["summary"]), F.lit("TRANSP:OPAQUE"),
             some("RRULE:", ev["rrule"]), some("LOCATION:", ev["location"]), some("DESCRIPTION:", F.replace(ev["description"], F.lit("\n"), F.lit("\\n"))), line("ORGANIZER;CN=", name(ev["organizer"]), ":mailto:", ev["organizer"]["email"]),
         )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.plans import controlq, identityq, ledgerq, mailops, mailq, scoreq, shapeq, signalq, streamq, toolq
+from quillfold.plans import controlq, exportq, identityq, ledgerq, mailops, mailq, scoreq, shapeq, signalq, streamq, toolq
 
-MODULES = (mailops, ledgerq, mailq, signalq, identityq, toolq, scoreq, controlq, shapeq, streamq)
+MODULES = (mailops, ledgerq, mailq, signalq, identityq, toolq, scoreq, controlq, shapeq, exportq, streamq)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

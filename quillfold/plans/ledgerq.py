@@ -10,16 +10,21 @@ from quillfold.functions.timefns import BEFORE_WEEKDAY, END_OF_DAY, END_OF_WEEK,
 from quillfold.operators import ledger
 from quillfold.operators.changefeed import clean_key, instant, op_kind
 from quillfold.operators.threads import latest
-from quillfold.session import load
+from quillfold.session import cut, load
 
 AS_OF = "2026-08-15 00:00:00"
 WINDOW_DAYS = 180
 
 
-def _claims(spark: SparkSession, d: str) -> DataFrame:
+def _found(spark: SparkSession, d: str) -> DataFrame:
     return ledger.claims(load(spark, d, "evidence"), load(spark, d, "emails"), load(spark, d, "email_participants"))
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """The claims, found once: items, changes and quotes all read them."""
+    return cut(_found(spark, d), "claims")
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return ledger.exact_items(_claims(spark, d))
 
@@ -154,7 +159,7 @@ def quarantine_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_claims(spark: SparkSession, d: str) -> DataFrame:
-    return _claims(spark, d).select("id", "user_id", "attribute", "act", "closes", "title", F.array_join("words", " ").alias("title_key"), F.unix_micros("at").alias("at"), "due", "due_confidence", "owner_person_id", "requester_person_id", "owner_is_self")
+    return _found(spark, d).select("id", "user_id", "attribute", "act", "closes", "title", F.array_join("words", " ").alias("title_key"), F.unix_micros("at").alias("at"), "due", "due_confidence", "owner_person_id", "requester_person_id", "owner_is_self")
 
 
 def ledger_items(spark: SparkSession, d: str) -> DataFrame:

@@ -33,7 +33,7 @@ def gold_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    claim = cut(ledgerq._claims(spark, d), "claims")  # read for each question
+    claim = ledgerq._claims(spark, d)
     parts = [ledgerq.ask(spark, d, q, claim=claim).select("user_id", F.lit(q).alias("question"), "work_item_id", "rank") for q in ASKED]
     answers = parts[0].unionByName(parts[1]).unionByName(parts[2])
     items = ledger.exact_items(claim)

@@ -42,7 +42,7 @@ margaret maria marie mark markus marta martin mary matthew max mei mia michael m
 richard rita robert roberto roger samuel sandra sara sarah sebastian sergio simon sofia sophie stefan stephen steve steven susan sven theodore theresa thomas tim timothy tom tony ursula uwe victor victoria walter wei werner william wolfgang yuki zoe
 """.split()
 # Words of an organisation's name that show its kind.
-FIRM = "ag analytics associates bank co company consulting corp energy foods foundation freight gmbh group health holding inc institute instruments kg labs limited llc llp logistics ltd outfitters partners press robotics sa society solutions studios systems team technologies textiles university".split()
+FIRM = "ag associates bank co company corp corporation foundation gmbh group holding inc institute kg limited llc llp ltd partners sa society team university".split()
 # Words of two languages that may follow a given name with a capital, or stand alone in a line as one.
 NOT_NAMES = frozenset(
     "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar marz mai juni juli oktober dezember "
